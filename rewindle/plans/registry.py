@@ -144,12 +144,11 @@ def medallion_chain(spark, sf):
         ),
     )
     stages = Medallion(path, bronze, "timestamp_ntz").create(spark)
-    orders, lineitem = (S.table(spark, sf, t).schema for t in ("orders", "lineitem"))
     stages.run(
         spark,
         [
-            S.contracts(I.stream_parquet(spark, f"{sf}/orders.parquet", orders)),
-            S.loans(I.stream_parquet(spark, f"{sf}/lineitem.parquet", lineitem)),
+            S.contracts(S.stream(spark, sf, "orders")),
+            S.loans(S.stream(spark, sf, "lineitem")),
         ],
     )
     return stages.final(spark).current(spark)
@@ -325,8 +324,8 @@ def stream_upsert(spark, sf):
     shape = M.enrich(empty, [_employees(customer), latest], ["emp_id"], False, [NONE_HEAVY] * 2)
     target = ChangeLog(f"{path}/target", shape.schema).create(spark)
     sources = [
-        _employees(I.stream_parquet(spark, f"{sf}/customer.parquet", customer.schema)),
-        _phones(I.stream_parquet(spark, f"{sf}/orders.parquet", orders.schema)),
+        _employees(S.stream(spark, sf, "customer")),
+        _phones(S.stream(spark, sf, "orders")),
     ]
     await_all(
         [upsert_stream(sources, ["emp_id"], current_rows, target, f"{path}/checkpoint")]
@@ -337,9 +336,7 @@ def stream_upsert(spark, sf):
 @query
 def stream_append(spark, sf):
     path = work_dir(spark, "append")
-    source = I.stream_parquet(
-        spark, f"{sf}/events.parquet", S.table(spark, sf, "events").schema
-    )
+    source = S.stream(spark, sf, "events")
     await_all([append_stream(source, f"{path}/out", f"{path}/checkpoint")])
     return spark.read.parquet(f"{path}/out").drop("processed_time")
 
@@ -524,8 +521,7 @@ def ingested_files(spark, sf):
     """The files two streams over the tables took in, as their checkpoints list them."""
     path = work_dir(spark, "ingested")
     for name in ("events", "orders"):
-        schema = S.table(spark, sf, name).schema
-        source = I.stream_parquet(spark, f"{sf}/{name}.parquet", schema)
+        source = S.stream(spark, sf, name)
         await_all([append_stream(source, f"{path}/out/{name}", f"{path}/checkpoints/{name}")])
     return P.ingested_files(spark, f"{path}/checkpoints/*").select(
         F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("name"), "batchId"

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rewindle.sources.files import stream_parquet, stream_path
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table as a stream of its files."""
+    schema = table(spark, folder, name).schema
+    return stream_parquet(spark, stream_path(f"{folder}/{name}.parquet"), schema)
+
+
 def event_log(events: DataFrame) -> DataFrame:
     """Events as a change log of users: the day is the version, an error deletes the user."""
     kind = (

@@ -7,10 +7,9 @@ read by sequence.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,27 +55,32 @@ class ChangeLog:
 
     def head(self, spark: SparkSession) -> int:
         """The newest version, -1 for an empty log."""
-        return self.version_for(spark, None, None) - 1
+        return self.version_for(spark, "", -1)[0] - 1
 
-    def version_for(self, spark: SparkSession, writer: str | None, batch_id: int | None) -> int:
-        """The version a batch writes: its own if it has written before, else the next."""
+    def version_for(self, spark: SparkSession, writer: str, batch_id: int) -> tuple[int, int]:
+        """The version a batch writes, and how many changes the log holds.
+
+        The version is the batch's own if it has written before, else the next.
+        """
         own = (F.col("_writer") == writer) & (F.col("_batch_id") == batch_id)
         row = (
             self.read(spark)
             .agg(
                 F.max(F.when(own, F.col(VERSION))).alias("own"),
                 F.coalesce(F.max(VERSION), F.lit(-1)).alias("head"),
+                F.count(F.lit(1)).alias("changes"),
             )
             .first()
         )
-        return row.head + 1 if row.own is None else row.own
+        return (row.head + 1 if row.own is None else row.own), row.changes
 
     def append(
         self, changes: DataFrame, version: int, writer: str = "batch", batch_id: int = 0
-    ) -> None:
-        """Write one version. Writing it again replaces it, so a repeated batch changes nothing.
+    ) -> int:
+        """Write one version and return its number of changes.
 
-        Rows without ``_change_type`` are inserts; pre-images are not stored.
+        Writing it again replaces it, so a repeated batch changes nothing. Rows
+        without ``_change_type`` are inserts; pre-images are not stored.
         """
         if TYPE not in changes.columns:
             changes = changes.withColumn(TYPE, F.lit("insert"))
@@ -88,7 +92,9 @@ class ChangeLog:
             F.lit(batch_id).cast("bigint").alias("_batch_id"),
             F.lit(version).cast("bigint").alias(VERSION),
         )
-        self._write(rows)
+        written = Observation()
+        self._write(rows.observe(written, F.count(F.lit(1)).alias("rows")))
+        return written.get["rows"]
 
     def load(self, changes: DataFrame) -> None:
         """Write a feed that brings its own versions and times, such as a compacted log.
@@ -139,8 +145,3 @@ def read_clone(
 def clone_versions(spark: SparkSession, path: str) -> DataFrame:
     """The versions a backup folder holds."""
     return spark.read.parquet(path).select("_source_version").distinct()
-
-
-def keys_of(log: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The keys a log has ever held."""
-    return log.select(*keys).distinct()

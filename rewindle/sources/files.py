@@ -14,8 +14,9 @@ NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 def stream_path(path: str) -> str:
     """The path as a pattern that matches only itself.
 
-    A file stream takes a folder or a pattern; with this, a table that is one
-    file can be streamed like one that is a folder of files.
+    A file stream takes a folder or a pattern; with this, a table can be
+    streamed whether it is one file or a folder of files. Not for partitioned
+    folders: their partition columns need the plain path.
     """
     path = path.rstrip("/")
     return f"{path[:-1]}[{path[-1]}]"
@@ -28,7 +29,7 @@ def stream_parquet(
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(stream_path(path))
+    return reader.parquet(path)
 
 
 def csv_header_schema(spark: SparkSession, path: str) -> T.StructType:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rewindle.operators.joins import broadcast_if_small, null_safe_join
+from rewindle.operators.joins import BROADCAST_ROWS, null_safe_join
 from rewindle.operators.scd2 import START, scd2
-from rewindle.operators.skew import NONE_HEAVY
+from rewindle.operators.skew import MIN_ROWS, NONE_HEAVY, fits
 from rewindle.operators.versions import (
     TIME,
     TYPE,
@@ -20,7 +21,6 @@ from rewindle.operators.versions import (
     WRITER_COLUMNS,
     as_of,
     change_feed_diff,
-    drop_system,
 )
 from rewindle.sources.changelog import ChangeLog
 
@@ -43,11 +43,11 @@ class HistoryTable:
     except_cols: tuple[str, ...] = ()
     deletes: str = "ignore"
 
-    @property
+    @cached_property
     def events(self) -> ChangeLog:
         return ChangeLog(f"{self.path}/events", _business(self.source))
 
-    @property
+    @cached_property
     def history(self) -> ChangeLog:
         spark = SparkSession.getActiveSession()
         empty = spark.createDataFrame([], _business(self.source))
@@ -71,9 +71,7 @@ class HistoryTable:
         """The history as it stands."""
         return as_of(self.history.read(spark), self.row_keys)
 
-    def apply(
-        self, batch: DataFrame, writer: str = "batch", batch_id: int = 0
-    ) -> None:
+    def apply(self, batch: DataFrame, writer: str = "batch", batch_id: int = 0) -> None:
         """Take in one batch. Repeating a batch of the same writer and number changes nothing."""
         spark = batch.sparkSession
         batch = batch.drop(TIME, VERSION, *WRITER_COLUMNS).persist()
@@ -81,38 +79,58 @@ class HistoryTable:
             if batch.isEmpty():
                 return
             events, history = self.events, self.history
-            events.append(batch, events.version_for(spark, writer, batch_id), writer, batch_id)
-            version = history.version_for(spark, writer, batch_id)
-            first = batch.groupBy(*self.keys).agg(F.min(self.seq).alias("__first"))
-            changes = self._changes(
-                events.read(spark).drop(TIME, VERSION, *WRITER_COLUMNS),
-                history.read(spark, end=version - 1),
-                broadcast_if_small(first),
-            )
-            history.append(changes, version, writer, batch_id)
+            version, stored = events.version_for(spark, writer, batch_id)
+            rows = stored + events.append(batch, version, writer, batch_id)
+            # A log this short has no heavy key; otherwise they are looked for.
+            heavy = NONE_HEAVY if rows < MIN_ROWS else None
+            version, _ = history.version_for(spark, writer, batch_id)
+            all_events = events.read(spark).drop(TIME, VERSION, *WRITER_COLUMNS)
+            if version == 0:
+                # No history yet: build it from all events there are.
+                history.append(self._build(all_events, heavy), version, writer, batch_id)
+                return
+            before = history.read(spark, end=version - 1)
+            start, few = self._start(batch, before)
+            try:
+                start.persist()
+                marked = F.broadcast(start) if few else start
+                changes = self._changes(all_events, before, marked, heavy)
+                history.append(changes, version, writer, batch_id)
+            finally:
+                start.unpersist()
         finally:
             batch.unpersist()
 
-    def _changes(self, events: DataFrame, history: DataFrame, first: DataFrame) -> DataFrame:
-        """The differences that the keys of ``first`` make to ``history``."""
-        known = as_of(null_safe_join(history, first, self.keys, "inner"), self.row_keys)
-        # The version that the earliest new event falls into is rebuilt too.
+    def _start(self, batch: DataFrame, history: DataFrame) -> tuple[DataFrame, bool]:
+        """From where on each key of the batch is rebuilt, and whether the keys are few.
+
+        That is the start of the version its earliest new event falls into, or
+        that event if there is none.
+        """
+        first = batch.groupBy(*self.keys).agg(F.min(self.seq).alias("__first"))
+        few = fits(first, BROADCAST_ROWS)
+        marked = F.broadcast(first) if few else first
         reached = (
-            known.where(F.col(START) < F.col("__first"))
+            as_of(null_safe_join(history, marked, self.keys, "inner"), self.row_keys)
+            .where(F.col(START) < F.col("__first"))
             .groupBy(*self.keys)
             .agg(F.max(START).alias("__reached"))
         )
         start = null_safe_join(first, reached, self.keys, "left").select(
             *self.keys, F.coalesce("__reached", "__first").alias("__from")
         )
-        again = null_safe_join(events, start, self.keys, "inner").where(
-            F.col(self.seq) >= F.col("__from")
-        )
-        old = null_safe_join(known.drop("__first"), start, self.keys, "inner").where(
-            F.col(START) >= F.col("__from")
-        )
-        new = self._build(again.drop("__from"))
-        return change_feed_diff(drop_system(old.drop("__from")), new, self.row_keys)
+        return start, few
+
+    def _changes(self, events, history, start, heavy) -> DataFrame:
+        """The differences that rebuilding from ``start`` makes to ``history``."""
+
+        def from_start(rows: DataFrame, column: str) -> DataFrame:
+            joined = null_safe_join(rows, start, self.keys, "inner")
+            return joined.where(F.col(column) >= F.col("__from")).drop("__from")
+
+        new = self._build(from_start(events, self.seq), heavy)
+        old = as_of(from_start(history, START), self.row_keys)
+        return change_feed_diff(old, new, self.row_keys)
 
     def follow(
         self, source: DataFrame, checkpoint: str, writer: str = "stream"

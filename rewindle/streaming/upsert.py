@@ -86,7 +86,7 @@ def upsert_stream(
         try:
             if changed.isEmpty():
                 return
-            version = target.version_for(spark, writer, batch_id)
+            version, _ = target.version_for(spark, writer, batch_id)
             changes = upsert_changes(
                 target.read(spark, end=version - 1), current_rows(changed), keys
             )
