@@ -36,8 +36,7 @@ def read_offsets(spark: SparkSession, checkpoints: str) -> DataFrame:
     JSON line per source, so it is as small as the stream has sources.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .text(f"{checkpoints}/offsets")
+        spark.read.text(f"{checkpoints}/offsets", wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
     lines = split_batch_path(files, "path").select(
