@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 SHARE = 0.001
 # ... and only from this many rows on: less is no burden for a task.
 MIN_ROWS = 1_000_000
+# Rows of a heavy key that are counted to find it.
+COUNTED = 10_000
 
 
 @dataclass(frozen=True)
@@ -64,24 +66,32 @@ def find_heavy(
 ) -> HeavyKeys:
     """Find the heavy keys of ``df`` in one pass over its key columns.
 
-    Runs a job: counts are combined before the shuffle, and at most ``1 / share``
-    numbers reach the driver, because no more keys can hold that share.
+    Runs a job. It only steers the plan: results are whole and the same
+    whichever keys it names. So it counts a sample where that surely shows a
+    heavy key, which then has about ``COUNTED`` rows in it. Counts are combined
+    before the shuffle, and at most ``1 / share`` numbers reach the driver,
+    because no more keys can hold that share.
     """
+    fraction = min(1.0, COUNTED / min_rows)
+    hashes = df.select(key_hash(df, keys).alias("kh"))
+    if fraction < 1:
+        hashes = hashes.sample(fraction, seed=1)
     total = Observation()
     rows = (
-        df.groupBy(key_hash(df, keys).alias("kh"))
+        hashes.groupBy("kh")
         .agg(F.count(F.lit(1)).alias("n"))
         .observe(total, F.sum("n").alias("rows"))
-        .where(F.col("n") >= min_rows)
+        .where(F.col("n") >= min_rows * fraction)
         .orderBy(F.desc("n"))
         .limit(int(1 / share))
         .collect()
     )
     if not rows:
         return NONE_HEAVY
-    limit = max(min_rows, int(total.get["rows"] * share))
-    rows = [r for r in rows if r.n >= limit]
-    return HeavyKeys(tuple(sorted(r.kh for r in rows)), sum(r.n for r in rows), limit)
+    limit = max(min_rows, int(total.get["rows"] / fraction * share))
+    rows = [r for r in rows if r.n >= limit * fraction]
+    count = round(sum(r.n for r in rows) / fraction)
+    return HeavyKeys(tuple(sorted(r.kh for r in rows)), count, limit)
 
 
 def split_heavy(

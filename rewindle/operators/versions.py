@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -38,13 +38,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest_by: Sequence[str])
     )
 
 
+def _not_deleted() -> Column:
+    return ~F.col(TYPE).eqNullSafe("delete")
+
+
 def _newest_changes(
     log: DataFrame, keys: Sequence[str], version: int | None, tie: Sequence[str]
 ) -> DataFrame:
     if version is not None:
         log = log.where(F.col(VERSION) <= version)
     return latest_per_key(
-        log.where(F.col(TYPE) != "update_preimage"), keys, [VERSION, *tie]
+        log.where(~F.col(TYPE).eqNullSafe("update_preimage")), keys, [VERSION, *tie]
     )
 
 
@@ -57,7 +61,7 @@ def as_of(
     more than one.
     """
     newest = _newest_changes(log, keys, version, tie)
-    return drop_system(newest.where(F.col(TYPE) != "delete"))
+    return drop_system(newest.where(_not_deleted()))
 
 
 def change_feed(log: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
@@ -70,7 +74,7 @@ def change_feed_initial(
     log: DataFrame, keys: Sequence[str], snapshot: int, tie: Sequence[str] = ()
 ) -> DataFrame:
     """A feed for a new reader: the table at ``snapshot`` as inserts, then all later changes."""
-    start = _newest_changes(log, keys, snapshot, tie).where(F.col(TYPE) != "delete")
+    start = _newest_changes(log, keys, snapshot, tie).where(_not_deleted())
     start = start.withColumn(TYPE, F.lit("insert")).withColumn(
         VERSION, F.lit(snapshot).cast("bigint")
     )

@@ -1,15 +1,16 @@
-"""A change log on disk: parquet, partitioned by version, appended only.
+"""A change log on disk: parquet, one folder per version, appended only.
 
 This is a convention on plain ``DataFrame.write``, for one writer at a time. It
 holds at most one change per key and version, except an event log that is only
-read by sequence.
+read by sequence. Version, writer and batch are partition columns: they take no
+space in the files, and looking them up reads no data.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +19,11 @@ from rewindle.operators.versions import TIME, TYPE, VERSION, change_feed
 _SYSTEM = [
     T.StructField(TYPE, T.StringType()),
     T.StructField(TIME, T.TimestampType()),
+    T.StructField(VERSION, T.LongType()),
     T.StructField("_writer", T.StringType()),
     T.StructField("_batch_id", T.LongType()),
-    T.StructField(VERSION, T.LongType()),
 ]
+_FOLDERS = (VERSION, "_writer", "_batch_id")
 
 
 @dataclass(frozen=True)
@@ -36,8 +38,8 @@ class ChangeLog:
 
     def create(self, spark: SparkSession) -> ChangeLog:
         """Make the folder of an empty log; an existing log is left alone."""
-        empty = spark.createDataFrame([], self.schema)
-        empty.write.mode("append").partitionBy(VERSION).parquet(self.path)
+        empty = spark.createDataFrame([], self.schema).coalesce(1)
+        empty.write.mode("append").partitionBy(*_FOLDERS).parquet(self.path)
         return self
 
     def read(self, spark: SparkSession, start: int = 0, end: int | None = None) -> DataFrame:
@@ -82,18 +84,18 @@ class ChangeLog:
         Writing it again replaces it, so a repeated batch changes nothing. Rows
         without ``_change_type`` are inserts; pre-images are not stored.
         """
+        if not writer.replace("-", "").replace("_", "").isalnum():
+            raise ValueError("a writer's name has letters, digits, - and _ only")
         if TYPE not in changes.columns:
             changes = changes.withColumn(TYPE, F.lit("insert"))
-        rows = changes.where(F.col(TYPE) != "update_preimage").select(
-            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.business],
-            TYPE,
-            F.current_timestamp().alias(TIME),
-            F.lit(writer).alias("_writer"),
-            F.lit(batch_id).cast("bigint").alias("_batch_id"),
-            F.lit(version).cast("bigint").alias(VERSION),
+        rows = changes.where(~F.col(TYPE).eqNullSafe("update_preimage")).select(
+            *self._business(), TYPE, F.current_timestamp().alias(TIME)
         )
         written = Observation()
-        self._write(rows.observe(written, F.count(F.lit(1)).alias("rows")))
+        # One folder, written straight: partitioned writing would sort all rows by it.
+        rows.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(
+            f"{self.path}/{VERSION}={version}/_writer={writer}/_batch_id={batch_id}"
+        )
         return written.get["rows"]
 
     def load(self, changes: DataFrame) -> None:
@@ -101,32 +103,25 @@ class ChangeLog:
 
         Rebalanced by version: few files per version, and a large version is split.
         """
-        for name in ("_writer", "_batch_id"):
-            if name not in changes.columns:
-                changes = changes.withColumn(name, F.lit(None))
         rows = changes.select(
-            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
-        )
-        self._write(rows.hint("rebalance", VERSION))
-
-    def _write(self, rows: DataFrame) -> None:
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(VERSION)
-            .parquet(self.path)
+            *self._business(),
+            TYPE,
+            TIME,
+            VERSION,
+            F.lit("load").alias("_writer"),
+            F.lit(0).cast("bigint").alias("_batch_id"),
         )
+        rows.hint("rebalance", VERSION).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(*_FOLDERS).parquet(self.path)
+
+    def _business(self) -> list[Column]:
+        return [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.business]
 
 
 def clone_table(snapshot: DataFrame, path: str, source_version: int) -> None:
     """A full copy of a table, filed under the version it was taken from."""
-    (
-        snapshot.withColumn("_source_version", F.lit(source_version).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("_source_version")
-        .parquet(path)
-    )
+    snapshot.write.mode("overwrite").parquet(f"{path}/_source_version={source_version}")
 
 
 def read_clone(

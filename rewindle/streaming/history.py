@@ -74,32 +74,30 @@ class HistoryTable:
     def apply(self, batch: DataFrame, writer: str = "batch", batch_id: int = 0) -> None:
         """Take in one batch. Repeating a batch of the same writer and number changes nothing."""
         spark = batch.sparkSession
-        batch = batch.drop(TIME, VERSION, *WRITER_COLUMNS).persist()
+        events, history = self.events, self.history
+        version, stored = events.version_for(spark, writer, batch_id)
+        added = events.append(batch, version, writer, batch_id)
+        if not added:
+            return
+        # From here on the batch is read from the log: it need not be kept in memory.
+        batch = _without_system(events.read(spark, version, version))
+        all_events = _without_system(events.read(spark))
+        # A log this short has no heavy key; otherwise they are looked for.
+        heavy = NONE_HEAVY if stored + added < MIN_ROWS else None
+        version, _ = history.version_for(spark, writer, batch_id)
+        if version == 0:
+            # No history yet: build it from all events there are.
+            history.append(self._build(all_events, heavy), version, writer, batch_id)
+            return
+        before = history.read(spark, end=version - 1)
+        start, few = self._start(batch, before)
         try:
-            if batch.isEmpty():
-                return
-            events, history = self.events, self.history
-            version, stored = events.version_for(spark, writer, batch_id)
-            rows = stored + events.append(batch, version, writer, batch_id)
-            # A log this short has no heavy key; otherwise they are looked for.
-            heavy = NONE_HEAVY if rows < MIN_ROWS else None
-            version, _ = history.version_for(spark, writer, batch_id)
-            all_events = events.read(spark).drop(TIME, VERSION, *WRITER_COLUMNS)
-            if version == 0:
-                # No history yet: build it from all events there are.
-                history.append(self._build(all_events, heavy), version, writer, batch_id)
-                return
-            before = history.read(spark, end=version - 1)
-            start, few = self._start(batch, before)
-            try:
-                start.persist()
-                marked = F.broadcast(start) if few else start
-                changes = self._changes(all_events, before, marked, heavy)
-                history.append(changes, version, writer, batch_id)
-            finally:
-                start.unpersist()
+            start.persist()
+            marked = F.broadcast(start) if few else start
+            changes = self._changes(all_events, before, marked, heavy)
+            history.append(changes, version, writer, batch_id)
         finally:
-            batch.unpersist()
+            start.unpersist()
 
     def _start(self, batch: DataFrame, history: DataFrame) -> tuple[DataFrame, bool]:
         """From where on each key of the batch is rebuilt, and whether the keys are few.
@@ -146,6 +144,11 @@ class HistoryTable:
         )
 
 
+def _without_system(events: DataFrame) -> DataFrame:
+    """The event with its change type; how it got into the log does not matter."""
+    return events.drop(TIME, VERSION, *WRITER_COLUMNS)
+
+
 def _business(schema: T.StructType) -> T.StructType:
     skip = {TYPE, TIME, VERSION, *WRITER_COLUMNS}
     return T.StructType([f for f in schema.fields if f.name not in skip])
