@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewindle.functions.documents import is_batch, restart_document
+from rewindle.operators.joins import join_unique
+from rewindle.operators.skew import find_heavy
 from rewindle.operators.versions import latest_per_key
 
 # The layout of the audit table and its states.
@@ -103,8 +105,8 @@ def version_available(
 ) -> DataFrame:
     """Add ``available``: does the version lie in the table's readable range?"""
     inside = F.col(version).between(F.col("base_version"), F.col("head_version"))
-    return requests.join(ranges, list(table), "left").select(
-        *[requests[c] for c in requests.columns], F.coalesce(inside, F.lit(False)).alias("available")
+    return join_unique(requests, ranges, table).select(
+        *requests.columns, F.coalesce(inside, F.lit(False)).alias("available")
     )
 
 
@@ -130,7 +132,9 @@ def restore_plan(
         "source_info",
         "table_info",
     )
-    joined = requests.join(rows, [*TABLE, "version"], "left").join(ranges, list(TABLE), "left")
+    # Very many requests may name one table; both other sides hold a key once.
+    joined = join_unique(requests, rows, [*TABLE, "version"])
+    joined = join_unique(joined, ranges, TABLE, heavy=find_heavy(requests, TABLE))
 
     def readable(version: str, span: str) -> Column:
         inside = F.col(version).between(

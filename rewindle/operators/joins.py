@@ -39,6 +39,30 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def join_unique(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    heavy: HeavyKeys | None = None,
+) -> DataFrame:
+    """Join to a side that holds each key once, whatever share of ``left`` one key has.
+
+    AQE splits no join whose other side comes straight from an aggregation. So
+    rows of heavy keys stay where they are, and the few rows they match are
+    broadcast: one per heavy key. ``heavy=None`` looks for them.
+    """
+    if heavy is None:
+        heavy = find_heavy(left, on)
+    if not heavy:
+        return left.join(right, list(on), how)
+    light, large = split_heavy(left, on, heavy)
+    _, few = split_heavy(right, on, heavy)
+    return light.join(right, list(on), how).unionByName(
+        large.join(F.broadcast(few), list(on), how)
+    )
+
+
 def left_join_all(
     keys: DataFrame,
     tables: Sequence[DataFrame],

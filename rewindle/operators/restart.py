@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewindle.functions.columns import checkpoint_path, list_items
+from rewindle.operators.joins import join_unique
 
 
 def last_committed(batches: DataFrame) -> DataFrame:
@@ -24,7 +25,8 @@ def checkpoint_progress(offsets: DataFrame, batches: DataFrame) -> DataFrame:
     are set for sources that count table versions.
     """
     field = lambda n: F.get_json_object("offset", f"$.{n}")
-    return offsets.join(last_committed(batches), ["cp_path", "batch_id"]).select(
+    last = last_committed(batches)
+    return join_unique(offsets, last, ["cp_path", "batch_id"], "inner").select(
         "cp_path",
         "batch_id",
         "source_no",
@@ -65,7 +67,7 @@ def usable_checkpoints(recorded: DataFrame, batches: DataFrame) -> DataFrame:
         .select("cp_path", F.col("batch_id").alias("commit"), F.lit(True).alias("__there"))
     )
     return (
-        recorded.join(present, ["cp_path", "commit"], "left")
+        join_unique(recorded, present, ["cp_path", "commit"])
         .groupBy("request_id")
         .agg(
             F.bool_and(
@@ -83,7 +85,7 @@ def restart_plan(recorded: DataFrame, batches: DataFrame) -> DataFrame:
     ``use_checkpoints``. A request whose checkpoints are usable keeps batches up
     to the recorded one and drops later ones; any other resets its checkpoints.
     """
-    decided = recorded.join(usable_checkpoints(recorded, batches), "request_id")
+    decided = join_unique(recorded, usable_checkpoints(recorded, batches), ["request_id"])
     action = (
         F.when(~F.col("resume"), "reset")
         .when(F.col("batch_id") > F.col("commit"), "drop")
