@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rewindle.operators.joins import BROADCAST_ROWS, null_safe_join
-from rewindle.operators.scd2 import START, scd2
-from rewindle.operators.skew import MIN_ROWS, NONE_HEAVY, fits
+from rewindle.operators.joins import BROADCAST_ROWS, FAIL, null_safe_join
+from rewindle.operators.scd2 import END, NULL_SEQ, START, scd2
+from rewindle.operators.skew import MIN_ROWS, NONE_HEAVY
 from rewindle.operators.versions import (
     TIME,
     TYPE,
@@ -29,10 +29,11 @@ from rewindle.sources.changelog import ChangeLog
 class HistoryTable:
     """A history and the event log it is built from; both are change logs.
 
-    History is never patched from its own rows: a late event may part two equal
+    Versions are never patched from each other: a late event may part two equal
     versions that were merged, or win a tie against an event no longer visible.
-    Each batch rebuilds its keys from the event log, from the version on that
-    its earliest event falls into, and appends the differences.
+    Each batch rebuilds its keys from the event log, from the batch's earliest
+    event of the key on, and appends the differences. So a batch that arrives in
+    order reads the end of the event log only.
     """
 
     path: str
@@ -75,8 +76,9 @@ class HistoryTable:
         """Take in one batch. Repeating a batch of the same writer and number changes nothing."""
         spark = batch.sparkSession
         events, history = self.events, self.history
+        has_seq = F.when(F.col(self.seq).isNull(), FAIL(NULL_SEQ)).otherwise(True)
         version, stored = events.version_for(spark, writer, batch_id)
-        added = events.append(batch, version, writer, batch_id)
+        added = events.append(batch.where(has_seq), version, writer, batch_id)
         if not added:
             return
         # From here on the batch is read from the log: it need not be kept in memory.
@@ -87,48 +89,67 @@ class HistoryTable:
         version, _ = history.version_for(spark, writer, batch_id)
         if version == 0:
             # No history yet: build it from all events there are.
-            history.append(self._build(all_events, heavy), version, writer, batch_id)
-            return
-        before = history.read(spark, end=version - 1)
-        start, few = self._start(batch, before)
-        try:
-            start.persist()
-            marked = F.broadcast(start) if few else start
-            changes = self._changes(all_events, before, marked, heavy)
-            history.append(changes, version, writer, batch_id)
-        finally:
-            start.unpersist()
-
-    def _start(self, batch: DataFrame, history: DataFrame) -> tuple[DataFrame, bool]:
-        """From where on each key of the batch is rebuilt, and whether the keys are few.
-
-        That is the start of the version its earliest new event falls into, or
-        that event if there is none.
+            changes = self._build(all_events, heavy)
+        else:
+            first, lowest = self._first(batch)
+            changes = self._changes(
+                all_events.where(lowest), history.read(spark, end=version - 1), first, heavy
+            )
+        history.append(changes, version, writer, batch_id)
+
+    def _first(self, batch: DataFrame) -> tuple[DataFrame, Column]:
+        """Each key's earliest event in the batch, broadcast if the keys are few.
+
+        Also a condition all rebuilt events meet, in a form that lets the scan
+        of the event log skip files and row groups.
         """
         first = batch.groupBy(*self.keys).agg(F.min(self.seq).alias("__first"))
-        few = fits(first, BROADCAST_ROWS)
-        marked = F.broadcast(first) if few else first
-        reached = (
-            as_of(null_safe_join(history, marked, self.keys, "inner"), self.row_keys)
-            .where(F.col(START) < F.col("__first"))
-            .groupBy(*self.keys)
-            .agg(F.max(START).alias("__reached"))
+        kind = first.schema["__first"].dataType
+        # As a value that goes through the driver unchanged, whatever the time zones.
+        as_micros = isinstance(kind, T.TimestampType)
+        exact = isinstance(
+            kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.IntegralType, T.StringType)
         )
-        start = null_safe_join(first, reached, self.keys, "left").select(
-            *self.keys, F.coalesce("__reached", "__first").alias("__from")
+        low = F.min("__first")
+        plain = F.unix_micros(low) if as_micros else low.cast("string")
+        row = first.agg(
+            F.count(F.lit(1)).alias("keys"), (plain if exact else F.lit(None)).alias("low")
+        ).first()
+        if row.keys <= BROADCAST_ROWS:
+            first = F.broadcast(first)
+        if not exact:
+            return first, F.lit(True)
+        low = F.timestamp_micros(F.lit(row.low)) if as_micros else F.lit(row.low).cast(kind)
+        return first, F.col(self.seq) >= low
+
+    def _changes(self, events, history, first, heavy) -> DataFrame:
+        """The differences that the events from ``first`` on make to ``history``."""
+        known = as_of(null_safe_join(history, first, self.keys, "inner"), self.row_keys)
+        # Versions that end before a key's first new event stay as they are.
+        old = known.where(F.col(END).isNull() | (F.col(END) >= F.col("__first")))
+        # The version which that event falls into stands for the events before it.
+        reached = self._as_events(old.where(F.col(START) < F.col("__first")), events)
+        again = null_safe_join(events, first, self.keys, "inner").where(
+            F.col(self.seq) >= F.col("__first")
         )
-        return start, few
-
-    def _changes(self, events, history, start, heavy) -> DataFrame:
-        """The differences that rebuilding from ``start`` makes to ``history``."""
-
-        def from_start(rows: DataFrame, column: str) -> DataFrame:
-            joined = null_safe_join(rows, start, self.keys, "inner")
-            return joined.where(F.col(column) >= F.col("__from")).drop("__from")
-
-        new = self._build(from_start(events, self.seq), heavy)
-        old = as_of(from_start(history, START), self.row_keys)
-        return change_feed_diff(old, new, self.row_keys)
+        new = self._build(again.drop("__first").unionByName(reached), heavy)
+        return change_feed_diff(old.drop("__first"), new, self.row_keys)
+
+    def _as_events(self, versions: DataFrame, events: DataFrame) -> DataFrame:
+        """Versions as the events that started them; dropped columns are null."""
+        shown = {c.lower() for c in versions.columns}
+        columns = []
+        for field in events.schema:
+            if field.name.lower() == self.seq.lower():
+                value = F.col(START)
+            elif field.name == TYPE:
+                value = F.lit("insert")
+            elif field.name.lower() in shown:
+                value = F.col(field.name)
+            else:
+                value = F.lit(None).cast(field.dataType)
+            columns.append(value.alias(field.name))
+        return versions.select(*columns)
 
     def follow(
         self, source: DataFrame, checkpoint: str, writer: str = "stream"

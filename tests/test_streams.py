@@ -276,3 +276,26 @@ def test_change_feed_of_a_history_feeds_the_next(spark, folder):
     feed = change_feed_initial(table.history.read(spark), table.row_keys, 0)
     again = scd2(feed, ["key"], "__START_AT", (), ["__START_AT", "__END_AT", *feed.columns[-5:]])
     assert again.count() <= table.current(spark).count()
+
+
+def test_null_sequence_is_refused_before_it_is_stored(spark, folder):
+    table = history_table(spark, folder, True, False)
+    with pytest.raises(PySparkException, match="holds a null"):
+        table.apply(spark.createDataFrame([(1, None, 0, "a", "insert")], EVENT))
+    assert table.events.head(spark) == -1
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "bigint", "string"])
+def test_a_batch_reads_only_later_events(spark, folder, plan, kind):
+    """The lowest sequence value of the batch is pushed down to the scan of the log."""
+    source = ddl(f"key int, seq {kind}")
+    table = HistoryTable(folder, source, ("key",), "seq").create(spark)
+    batch = spark.sql("SELECT 1 AS key, '2024-03-31 01:30:00.123456' AS seq")
+    if kind == "bigint":
+        batch = batch.withColumn("seq", F.lit(7))
+    batch = batch.select("key", F.col("seq").cast(kind))
+    table.apply(batch)
+    first, lowest = table._first(batch)
+    events = table.events.read(spark).where(lowest)
+    assert events.count() == 1
+    assert "GreaterThanOrEqual(seq," in plan(events)
