@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 # A key is heavy from this share of all rows on, so there are at most 1000 of them ...
 SHARE = 0.001
 # ... and only from this many rows on: less is no burden for a task.
-MIN_ROWS = 1_000_000
+MIN_ROWS = 5_000_000
 # Rows of a heavy key that are counted to find it.
 COUNTED = 10_000
 
