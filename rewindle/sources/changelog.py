@@ -98,6 +98,14 @@ class ChangeLog:
         )
         return written.get["rows"]
 
+    def commit(
+        self, spark: SparkSession, changes: DataFrame, writer: str = "batch", batch_id: int = 0
+    ) -> int:
+        """Write a batch as its own or the next version, and return the version."""
+        version, _ = self.version_for(spark, writer, batch_id)
+        self.append(changes, version, writer, batch_id)
+        return version
+
     def load(self, changes: DataFrame) -> None:
         """Write a feed that brings its own versions and times, such as a compacted log.
 
@@ -119,6 +127,16 @@ class ChangeLog:
         return [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.business]
 
 
+def stream_writer(batch: DataFrame, name: str) -> str:
+    """The writer's name with the id of the running stream.
+
+    The id stays with the checkpoint: it survives restarts, and a stream with a
+    new checkpoint, which counts its batches from 0 again, has another.
+    """
+    stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{name}-{stream}" if stream else name
+
+
 def clone_table(snapshot: DataFrame, path: str, source_version: int) -> None:
     """A full copy of a table, filed under the version it was taken from."""
     snapshot.write.mode("overwrite").parquet(f"{path}/_source_version={source_version}")

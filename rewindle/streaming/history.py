@@ -22,7 +22,7 @@ from rewindle.operators.versions import (
     as_of,
     change_feed_diff,
 )
-from rewindle.sources.changelog import ChangeLog
+from rewindle.sources.changelog import ChangeLog, stream_writer
 
 
 @dataclass(frozen=True)
@@ -50,9 +50,12 @@ class HistoryTable:
 
     @cached_property
     def history(self) -> ChangeLog:
-        spark = SparkSession.getActiveSession()
-        empty = spark.createDataFrame([], _business(self.source))
-        return ChangeLog(f"{self.path}/history", self._build(empty, NONE_HEAVY).schema)
+        dropped = {c.lower() for c in self.except_cols}
+        source = _business(self.source).fields
+        kind = next(f.dataType for f in source if f.name.lower() == self.seq.lower())
+        span = [T.StructField(START, kind), T.StructField(END, kind)]
+        kept = [f for f in source if f.name.lower() not in dropped]
+        return ChangeLog(f"{self.path}/history", T.StructType([*kept, *span]))
 
     @property
     def row_keys(self) -> list[str]:
@@ -154,11 +157,17 @@ class HistoryTable:
     def follow(
         self, source: DataFrame, checkpoint: str, writer: str = "stream"
     ) -> StreamingQuery:
-        """Apply a stream until its present end; a later call goes on from there."""
+        """Apply a stream until its present end; a later call goes on from there.
+
+        A stream that starts over on a new checkpoint counts as another writer, so
+        its batches do not replace those of the old one.
+        """
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            self.apply(batch, stream_writer(batch, writer), batch_id)
+
         return (
-            source.writeStream.foreachBatch(
-                lambda batch, batch_id: self.apply(batch, writer, batch_id)
-            )
+            source.writeStream.foreachBatch(step)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rewindle.operators.joins import FAIL, broadcast_if_small
 from rewindle.operators.merge import changed_keys
 from rewindle.operators.versions import TYPE, VERSION, as_of
-from rewindle.sources.changelog import ChangeLog
+from rewindle.sources.changelog import ChangeLog, stream_writer
 from rewindle.sources.files import with_time
 
 
@@ -86,11 +86,12 @@ def upsert_stream(
         try:
             if changed.isEmpty():
                 return
-            version, _ = target.version_for(spark, writer, batch_id)
+            name = stream_writer(batch, writer)
+            version, _ = target.version_for(spark, name, batch_id)
             changes = upsert_changes(
                 target.read(spark, end=version - 1), current_rows(changed), keys
             )
-            target.append(changes, version, writer, batch_id)
+            target.append(changes, version, name, batch_id)
         finally:
             changed.unpersist()
 

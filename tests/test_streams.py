@@ -299,3 +299,23 @@ def test_a_batch_reads_only_later_events(spark, folder, plan, kind):
     events = table.events.read(spark).where(lowest)
     assert events.count() == 1
     assert "GreaterThanOrEqual(seq," in plan(events)
+
+
+@pytest.mark.parametrize("restart", ["same", "new"])
+def test_a_stream_that_starts_over_replaces_nothing(spark, folder, rows, restart):
+    """With its checkpoint a stream takes only what is new; without, all again, as new versions."""
+    table = history_table(spark, folder, True, False)
+    for i in range(2):
+        events = [(i, s, 0, "a", "insert") for s in range(3)]
+        append_table(spark.createDataFrame(events, EVENT).coalesce(1), f"{folder}/in")
+        source = stream_parquet(spark, f"{folder}/in", EVENT)
+        checkpoint = f"{folder}/cp{i if restart == 'new' else ''}"
+        # A table object of its own, as a new process would have.
+        again = HistoryTable(*[getattr(table, f) for f in table.__dataclass_fields__])
+        await_all([again.follow(source, checkpoint)])
+    assert table.current(spark).count() == 6
+    stored = table.events.read(spark).groupBy("_commit_version", "_writer").count()
+    sizes = rows(stored, "_commit_version", "count")
+    assert sizes == ([(0, 3), (1, 3)] if restart == "same" else [(0, 3), (1, 6)])
+    writers = stored.select("_writer").distinct().count()
+    assert writers == (1 if restart == "same" else 2)

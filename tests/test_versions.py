@@ -174,9 +174,7 @@ def test_repeated_batch_keeps_its_version(spark, folder):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], BUSINESS)
     assert log.head(spark) == -1
     for _ in range(2):
-        version, _ = log.version_for(spark, "w", 7)
-        assert version == 0
-        assert log.append(rows, version, "w", 7) == 2
+        assert log.commit(spark, rows, "w", 7) == 0
     assert log.read(spark).count() == 2
     assert log.version_for(spark, "w", 8) == (1, 2)
     assert log.version_for(spark, "other", 7) == (1, 2)
