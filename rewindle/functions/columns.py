@@ -12,6 +12,8 @@ KEY_PREFIX = ("AFS", "AF")
 KEY_WIDTH = 9
 OPEN_END = "2999-12-31"
 UNKNOWN = "UNKWN"
+PIPELINE_WORD, PIPELINE_ID = "pipeline", "pipelines.pipelineId"
+PIPELINE_TABLE, OTHER_TABLE = "dlt", "delta"
 
 
 def surrogate_key(
@@ -61,12 +63,12 @@ def checkpoint_path(target: Column, incremental: Column, file: Column, source: C
 
 
 def table_kind(properties: Column) -> Column:
-    """``dlt`` for a table that a pipeline keeps, by its property names, else ``delta``."""
-    kept = F.exists(F.map_keys(properties), lambda k: k.contains("pipeline"))
-    return F.when(F.coalesce(kept, F.lit(False)), "dlt").otherwise("delta")
+    """Whether a pipeline keeps the table, by its property names."""
+    kept = F.exists(F.map_keys(properties), lambda k: k.contains(PIPELINE_WORD))
+    return F.when(F.coalesce(kept, F.lit(False)), PIPELINE_TABLE).otherwise(OTHER_TABLE)
 
 
-def pipeline_id(properties: Column, key: str = "pipelines.pipelineId") -> Column:
+def pipeline_id(properties: Column, key: str = PIPELINE_ID) -> Column:
     """The pipeline's id in the form that names allow."""
     return F.replace(F.try_element_at(properties, F.lit(key)), F.lit("-"), F.lit("_"))
 
