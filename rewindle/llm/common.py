@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,19 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SHIPPED: set[str] = set()
+
+def ready(spark: SparkSession) -> None:
+    """Give executors this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        to = tempfile.mkdtemp(prefix="package-")
+        copy = shutil.copytree(top, Path(to, "code", top.name), ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(str(Path(to, top.name)), "zip", copy.parent))
+        _SHIPPED.add(context.applicationId)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
