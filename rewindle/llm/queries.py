@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewindle.llm import packing, quality, sharding
+from rewindle.llm import packing, quality, sharding, simhash
 from rewindle.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -27,6 +27,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.classes(table(spark, folder, "documents"), shingle=3, radius=3)
+
+
 def op9_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents"), 16)
 
@@ -38,6 +42,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op8_simhash": op8_simhash,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_quality_rules": op10_quality_rules,
 }
