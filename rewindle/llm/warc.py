@@ -88,7 +88,7 @@ def write(df: DataFrame, smallest: int = 0, id: str = "page_id", url: str = "url
                 if out is None:
                     store.create_dir(base, recursive=True)
                     name = f"/{uuid.uuid4().hex}.warc.gz"
-                    path, out = folder + name, store.open_output_stream(base + name)
+                    path, out = folder + name, store.open_output_stream(base + name, compression=None)
                 body = record(row["id"], row["url"], row["html"].encode(), row["refers_to"], row["revisit"])
                 out.write(body)
                 size, n = size + len(body), n + 1
