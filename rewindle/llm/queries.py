@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewindle.llm import packing, quality, sharding, simhash, warc
+from rewindle.llm import packing, pii, quality, sharding, simhash, warc
 from rewindle.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -32,6 +32,11 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(rows["id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return pii.digests(documents, pii.train(documents))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), shingle=3, radius=3)
 
@@ -48,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
+    "op5_pii": op5_pii,
     "op8_simhash": op8_simhash,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_quality_rules": op10_quality_rules,
