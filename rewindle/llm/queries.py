@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewindle.llm import chat, packing, pii, quality, sharding, simhash, warc
+from rewindle.llm import chat, packing, pieces, pii, quality, sharding, simhash, warc
 from rewindle.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -39,6 +39,10 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.rendered(kinds.unionByName(more))).withColumnRenamed("conv", "conv_id")
 
 
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trips(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"), merges=True)
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return pii.digests(documents, pii.train(documents))
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
     "op3_chat_format": op3_chat_format,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
     "op8_simhash": op8_simhash,
     "op9_minimax_shards": op9_minimax_shards,
