@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rewindle.llm import chat, packing, pieces, pii, quality, sharding, simhash, warc
+from rewindle.llm import chat, html, packing, pieces, pii, quality, sharding, simhash, warc
 from rewindle.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -48,6 +49,10 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digests(documents, pii.train(documents))
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extracted(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), shingle=3, radius=3)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
+    "op6_html_text": op6_html_text,
     "op8_simhash": op8_simhash,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_quality_rules": op10_quality_rules,
