@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewindle.llm import chat, html, packing, pieces, pii, quality, sharding, simhash, warc
+from rewindle.llm import chat, html, neighbours, packing, pieces, pii, quality, sharding, simhash, warc
 from rewindle.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -53,6 +53,10 @@ def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.searched(table(spark, folder, "embeddings"), every=20, top=20)
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), shingle=3, radius=3)
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
     "op6_html_text": op6_html_text,
+    "op7_nn_descent": op7_nn_descent,
     "op8_simhash": op8_simhash,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_quality_rules": op10_quality_rules,
