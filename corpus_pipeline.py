@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewindle.llm import quality
+from rewindle.llm import packing, pii, quality, simhash
 from rewindle.llm.common import written
+from rewindle.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +20,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.well_formed(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, by three-word shingles and three bits."""
+    return simhash.one_of_each(docs, shingle=3, radius=3)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data masked, found by the patterns and a tagger trained on these documents."""
+    return pii.masked(docs, pii.train(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, and the sequences of 2048 tokens they go to."""
+    return packing.packed(docs, tokenizer("word_bpe_49k.json"))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: The hash of word shingles, the trained tagger and the packing have no SQL form.
