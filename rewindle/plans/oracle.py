@@ -143,6 +143,7 @@ ORACLE = {
     "scd2_stream": HISTORY,
     "scd2_backfill": HISTORY,
     "medallion_chain": FINAL,
+    "medallion_incremental": FINAL,
     "file_ingest": HISTORY,
     "as_of": f"SELECT * FROM {_state(10)}",
     "change_feed_range": f"SELECT * FROM {LOG} WHERE _commit_version BETWEEN 5 AND 10",

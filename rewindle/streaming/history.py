@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rewindle.operators.joins import BROADCAST_ROWS, FAIL, null_safe_join
+from rewindle.operators.joins import BROADCAST_ROWS, FAIL, broadcast_if_small, null_safe_join
 from rewindle.operators.scd2 import END, NULL_SEQ, START, scd2
 from rewindle.operators.skew import MIN_ROWS, NONE_HEAVY
 from rewindle.operators.versions import (
@@ -21,6 +21,7 @@ from rewindle.operators.versions import (
     WRITER_COLUMNS,
     as_of,
     change_feed_diff,
+    latest_per_key,
 )
 from rewindle.sources.changelog import ChangeLog, stream_writer
 
@@ -34,6 +35,11 @@ class HistoryTable:
     Each batch rebuilds its keys from the event log, from the batch's earliest
     event of the key on, and appends the differences. So a batch that arrives in
     order reads the end of the event log only.
+
+    A source that is itself a change feed names in ``row`` the upstream row that
+    an event shows, and in ``row_version`` the version that wrote it. Of the
+    changes of one upstream row the newest counts, and none if that is a delete. A row
+    keeps its sequence value; its key may change.
     """
 
     path: str
@@ -43,6 +49,8 @@ class HistoryTable:
     tie: tuple[str, ...] = ()
     except_cols: tuple[str, ...] = ()
     deletes: str = "ignore"
+    row: str | None = None
+    row_version: str | None = None
 
     @cached_property
     def events(self) -> ChangeLog:
@@ -92,14 +100,31 @@ class HistoryTable:
         version, _ = history.version_for(spark, writer, batch_id)
         if version == 0:
             # No history yet: build it from all events there are.
-            changes = self._build(all_events, heavy)
+            changes = self._build(self._standing(all_events), heavy)
         else:
-            first, lowest = self._first(batch)
+            first, lowest = self._first(self._touched(batch, all_events))
             changes = self._changes(
                 all_events.where(lowest), history.read(spark, end=version - 1), first, heavy
             )
         history.append(changes, version, writer, batch_id)
 
+    def _standing(self, events: DataFrame) -> DataFrame:
+        """The events that count: the newest change of each upstream row, without retracted rows."""
+        if self.row is None:
+            return events
+        newest = latest_per_key(events, [self.row], [self.row_version])
+        return newest.where(~F.col(TYPE).eqNullSafe("delete"))
+
+    def _touched(self, batch: DataFrame, events: DataFrame) -> DataFrame:
+        """Keys and sequence values of the batch, and of what the log knew of its upstream rows."""
+        places = [*self.keys, self.seq]
+        if self.row is None:
+            return batch.select(*places)
+        return events.join(self._rows_of(batch), self.row, "left_semi").select(*places)
+
+    def _rows_of(self, events: DataFrame) -> DataFrame:
+        return broadcast_if_small(events.select(self.row).distinct())
+
     def _first(self, batch: DataFrame) -> tuple[DataFrame, Column]:
         """Each key's earliest event in the batch, broadcast if the keys are few.
 
@@ -132,9 +157,14 @@ class HistoryTable:
         old = known.where(F.col(END).isNull() | (F.col(END) >= F.col("__first")))
         # The version which that event falls into stands for the events before it.
         reached = self._as_events(old.where(F.col(START) < F.col("__first")), events)
-        again = null_safe_join(events, first, self.keys, "inner").where(
+        at_keys = lambda rows: null_safe_join(rows, first, self.keys, "inner").where(
             F.col(self.seq) >= F.col("__first")
         )
+        if self.row is not None:
+            # A row may since have moved to another key, so all its changes are looked at.
+            near = at_keys(events).select(self.row).distinct()
+            events = self._standing(events.join(near, self.row, "left_semi"))
+        again = at_keys(events)
         new = self._build(again.drop("__first").unionByName(reached), heavy)
         return change_feed_diff(old.drop("__first"), new, self.row_keys)
 
