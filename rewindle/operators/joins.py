@@ -58,8 +58,9 @@ def join_unique(
         return left.join(right, list(on), how)
     light, large = split_heavy(left, on, heavy)
     _, few = split_heavy(right, on, heavy)
+    # One row per heavy key, if keys are unique as they should be: checked, as it may be broadcast.
     return light.join(right, list(on), how).unionByName(
-        large.join(F.broadcast(few), list(on), how)
+        large.join(broadcast_if_small(few), list(on), how)
     )
 
 
@@ -74,7 +75,7 @@ def left_join_all(
     ``keys`` holds each key once. The light keys take the plain chain of joins:
     one shuffle per table, none in between. A key that is heavy in some table
     cannot: an outer join's inner side is never split. Such keys are joined
-    apart. At most 1000 per table exist, so they are broadcast to the tables;
+    apart, the heavy keys broadcast to the tables if a count shows that they are few;
     where several tables are left, the rows are joined on key and salt.
 
     ``heavy`` gives the heavy keys per table; ``None`` looks for them.
@@ -101,7 +102,7 @@ def _left_chain(keys: DataFrame, tables: Sequence[DataFrame], on: Sequence[str])
 
 def _cover(keys: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``table`` for the few ``keys``, and one row of nulls for each key it lacks."""
-    hits = table.join(F.broadcast(keys), list(on), "left_semi")
+    hits = table.join(broadcast_if_small(keys), list(on), "left_semi")
     lacking = keys.join(hits.select(*on).distinct(), list(on), "left_anti")
     return hits.unionByName(lacking, allowMissingColumns=True).select(
         *on, *[c for c in table.columns if c.lower() not in {k.lower() for k in on}]
@@ -117,7 +118,7 @@ def _salted_chain(
     result, many = None, 1
     for table, h in zip(tables, heavy, strict=True):
         rows = _cover(keys, table, on)
-        own = h.slices if h else 1
+        own = h.salts if h else 1
         if result is None:
             result, many = rows, own
             continue

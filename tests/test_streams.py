@@ -212,6 +212,53 @@ def test_backup_and_original_agree(spark, folder, rows):
         assert table_diff(out, copy, columns, strict=True).isEmpty()
 
 
+def test_chained_stages_take_updates_of_upstream_rows(spark, folder, rows):
+    """Ties across batches, a row that moves to another contract, a version that goes."""
+    contract = ddl(
+        "CONTRACT_ID int, CNTRCT_SHRT_NME string, CONTRACT_BRAND_CDE string, "
+        "CONTRACT_TYPE_CDE string, OPEN_DTE date, CLOSE_DTE date, EXTRACT_DTTM timestamp"
+    )
+    loan = ddl(
+        "LOAN_ID int, CONTRACT_ID int, LOAN_TYPE_CDE string, LOAN_STATUS_CDE string, "
+        "VALUE decimal(22,6), EXTRACT_DTTM timestamp, N int"
+    )
+    day = lambda n: datetime(2024, 3, n)
+    contracts = [
+        [(1, "one", "B1", None, day(1).date(), None, day(5))],
+        [(2, "two", "B2", "T", day(1).date(), None, day(3))],
+        [],
+        [(1, "one", "B1", "T", day(1).date(), None, day(2))],
+    ]
+    loans = [
+        [(12, 2, "L", "C1", None, day(4), 1)],
+        [(10, 1, "L", "O1", None, day(5), 1)],  # ties with the contract row of the first part
+        [(12, 1, "M", "C1", None, day(4), 2)],  # the loan of that time belongs to another contract
+        [(10, 1, "N", "O1", None, day(5), 3)],
+    ]
+
+    def final(path, parts):
+        bronze = (
+            HistoryTable(f"{path}/contract", contract, ("CONTRACT_ID",), "EXTRACT_DTTM"),
+            HistoryTable(f"{path}/loan", loan, ("LOAN_ID",), "EXTRACT_DTTM", ("N",), ("N",)),
+        )
+        chain = Medallion(path, bronze).create(spark)
+        for part in parts:
+            append_table(spark.createDataFrame([r for k in part for r in contracts[k]], contract), f"{path}/c")
+            append_table(spark.createDataFrame([r for k in part for r in loans[k]], loan), f"{path}/l")
+            chain.run(
+                spark,
+                [
+                    stream_parquet(spark, f"{path}/c", contract),
+                    stream_parquet(spark, f"{path}/l", loan),
+                ],
+            )
+        return rows(chain.final(spark).current(spark))
+
+    want = final(f"{folder}/once", [range(4)])
+    assert final(f"{folder}/often", [[k] for k in range(4)]) == want
+    assert len(want) == 4
+
+
 def test_chained_stages_as_streams_equal_one_shot(spark, folder, rows):
     contract = ddl(
         "CONTRACT_ID int, CNTRCT_SHRT_NME string, CONTRACT_BRAND_CDE string, "
