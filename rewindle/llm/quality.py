@@ -107,9 +107,12 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     exact = hashed.withColumn(same, F.sort_array(F.transform(meet, words_at)))
     exact = exact.withColumn(at, F.sort_array(F.transform(neighbour(same, lambda x: F.struct(x["a"], x["b"], x["c"])), lambda x: x["i"])))
     covered = F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3))))
+    # A filter on a measure must not be pushed below this projection, where it would work out all steps
+    # anew for each use; Spark pushes none below a projection that numbers its rows.
+    once = F.when(F.monotonically_increasing_id() >= 0, n.cast("long"))
     return exact.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        n.cast("long").alias("n_words"),
+        once.alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(whole, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.size(lines).cast("long").alias("n_lines"),
@@ -135,5 +138,4 @@ def well_formed(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     """The rows whose text passes every rule, with their own columns."""
     slim = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     out = judged(df.select(F.col(text).alias("text"), slim.alias("row")), "text", rules)
-    # a filter on the measures alone would be pushed below them, and work them out many times for each row
-    return out.withColumn("at", F.monotonically_increasing_id()).where("kept AND at >= 0").select("row.*")
+    return out.where("kept").select("row.*")
