@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Results must equal those of other users of the same keys and codes.
 KEY_PREFIX = ("AFS", "AF")
@@ -75,3 +76,35 @@ def pipeline_id(properties: Column, key: str = PIPELINE_ID) -> Column:
 
 def json_field(document: Column, name: str) -> Column:
     return F.get_json_object(document, f"$.{name}")
+
+
+def has_map(kind: T.DataType) -> bool:
+    """Whether a value of this type holds a map, which Spark neither compares nor hashes."""
+    if isinstance(kind, T.StructType):
+        return any(has_map(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return has_map(kind.elementType)
+    return isinstance(kind, T.MapType)
+
+
+def comparable(value: Column, kind: T.DataType) -> Column:
+    """The value with each map as its entries in the order of their keys; other values unchanged."""
+    if not has_map(kind):
+        return value
+    if isinstance(kind, T.StructType):
+        fields = [comparable(value[f.name], f.dataType).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: comparable(x, kind.elementType))
+
+    def entry(e: Column) -> Column:
+        return F.struct(
+            comparable(e["key"], kind.keyType).alias("key"),
+            comparable(e["value"], kind.valueType).alias("value"),
+        )
+
+    return F.array_sort(F.transform(F.map_entries(value), entry))
+
+
+def comparable_columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    return [comparable(F.col(n), df.schema[n].dataType).alias(n) for n in names]

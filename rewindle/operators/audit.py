@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewindle.functions.documents import is_batch, restart_document
+from rewindle.functions.documents import flatten_files, is_batch, restart_document
 from rewindle.operators.joins import join_unique
 from rewindle.operators.skew import find_heavy
 from rewindle.operators.versions import latest_per_key
@@ -21,6 +21,7 @@ AUDIT = (
 SUCCESS, FAILED = "success", "failed"
 TABLE = ("table_schema", "table_name")
 NO_BACKUP = -1
+UNAVAILABLE = "unavailable"
 
 
 def from_writer_form(rows: DataFrame) -> DataFrame:
@@ -146,13 +147,38 @@ def restore_plan(
         "mode",
         F.when(readable("version", "__primary"), "time_travel")
         .when(readable("backup_version", "__backup"), "backup")
-        .otherwise("unavailable"),
+        .otherwise(UNAVAILABLE),
     ).drop("__primary", "__backup")
 
 
-def restart_config(plan: DataFrame, table: Column) -> DataFrame:
-    """Add ``batch`` and ``config``, the document to restart each table's stream with."""
-    return plan.withColumn("batch", is_batch(F.col("table_info"))).withColumn(
+def recorded_checkpoints(plan: DataFrame) -> DataFrame:
+    """The checkpoints and batches that the used audit rows recorded, for ``usable_checkpoints``.
+
+    Batch tables have no stream to restart, and a request that cannot be met restarts nothing.
+    """
+    streams = plan.where((F.col("mode") != UNAVAILABLE) & ~is_batch(F.col("table_info")))
+    files = flatten_files(streams.select("request_id", "use_checkpoints", "source_info"), "source_info")
+    return files.select("request_id", "cp_path", F.col("commit").cast("bigint"), "use_checkpoints")
+
+
+def restart_config(plan: DataFrame, table: Column, usable: DataFrame) -> DataFrame:
+    """Add ``batch``, ``resume``, ``config`` and ``reason`` to every request of a restore plan.
+
+    ``config`` is the document to restart the table's stream with: it resumes only if ``usable``
+    (one row per request) says that all recorded batches are there. Where
+    there is no document, ``reason`` says why.
+    """
+    batch = is_batch(F.col("table_info"))
+    reason = F.when(F.col("mode") == UNAVAILABLE, "no readable version").when(
+        F.col("source_info").isNull(), "no recorded sources"
+    )
+    joined = join_unique(plan, usable.select("request_id", "resume"), ["request_id"])
+    return joined.withColumns(
+        {"batch": batch, "resume": F.coalesce("resume", F.lit(False)), "reason": reason}
+    ).withColumn(
         "config",
-        restart_document(table, F.col("source_info"), F.col("batch"), F.col("use_checkpoints")),
+        F.when(
+            F.col("reason").isNull(),
+            restart_document(table, F.col("source_info"), F.col("batch"), F.col("resume")),
+        ),
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rewindle.functions.columns import comparable_columns
 from rewindle.operators.skew import NONE_HEAVY, HeavyKeys, find_heavy, fits, split_heavy
 
 # A side of at most this many rows may be broadcast.
@@ -149,7 +150,7 @@ def _packed(rows: DataFrame, name: str) -> DataFrame:
         .select(
             *rows.columns,
             F.least(F.lit(COPIES), n - chunk * COPIES).cast("int").alias(f"{name}_copies"),
-            F.xxhash64(*rows.columns, "__chunk").alias(f"{name}_salt"),
+            F.xxhash64(*comparable_columns(rows, rows.columns), "__chunk").alias(f"{name}_salt"),
         )
     )
 

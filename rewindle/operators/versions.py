@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from rewindle.functions.columns import comparable_columns, has_map
 from rewindle.operators.joins import FAIL, null_safe_join
 
 TYPE, VERSION, TIME = "_change_type", "_commit_version", "_commit_timestamp"
@@ -93,10 +94,14 @@ def change_feed_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
     )
     order = W.partitionBy(*keys).orderBy("__side")
     row = F.struct(*columns)
+    maps = any(has_map(f.dataType) for f in new.schema)
+    state = F.struct(*comparable_columns(both, columns)) if maps else row
     seen = both.select(
         row.alias("__row"),
+        state.alias("__state"),
         "__side",
         F.lag(row).over(order).alias("__old"),
+        F.lag(state).over(order).alias("__old_state"),
         F.lag("__side").over(order).alias("__before"),
         F.lead("__side").over(order).alias("__after"),
     )
@@ -108,7 +113,7 @@ def change_feed_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
     changes = (
         F.when(F.col("__before") == side, FAIL("a key repeats within one side of the comparison"))
         .when(side == 0, F.col("__after").isNull())
-        .otherwise(~F.col("__row").eqNullSafe(F.col("__old")))
+        .otherwise(~F.col("__state").eqNullSafe(F.col("__old_state")))
     )
     emitted = (
         F.when(side == 0, F.array(change("delete", "__row")))

@@ -250,15 +250,25 @@ ORACLE = {
         md5(user_id || s.name) AS table_id, CAST(day(ts) AS VARCHAR) AS version
         FROM events, (VALUES (1), (2)) f(n),
         (VALUES (0, 'employee'), (1, 'employee_phone')) s(n, name)""",
-    "restart_config": f"""SELECT request_id, user_id % 5 = 0 AS batch,
-        'main.' || table_schema || '.' || table_name AS config_table,
-        CASE WHEN user_id % 5 = 0 THEN 'NA - run as batch table' END AS note,
-        CAST(CASE WHEN user_id % 5 = 0 THEN -1 ELSE 2 END AS BIGINT) AS n_sources,
-        CASE WHEN user_id % 5 <> 0 THEN table_schema || '.employee_phone' END AS second_table,
-        CASE WHEN user_id % 5 <> 0 AND NOT use_checkpoints THEN CAST(version AS VARCHAR) END
-            AS first_version,
-        CAST(NULL AS VARCHAR) AS cp_path
-        FROM {PLAN} WHERE backup_version IS NOT NULL""",
+    "restart_config": f"""WITH p AS (SELECT *, backup_version IS NOT NULL AS recorded,
+            backup_version IS NOT NULL AND user_id % 5 = 0 AS batch FROM {PLAN}),
+        r AS (SELECT *, mode <> 'unavailable' AND recorded AND NOT batch AND use_checkpoints
+                AND EXISTS (SELECT 1 FROM events e WHERE e.user_id = p.user_id
+                    AND e.event_type = 'purchase' AND day(e.ts) = p.version) AS resume FROM p),
+        d AS (SELECT *, CASE WHEN mode = 'unavailable' THEN 'no readable version'
+                WHEN NOT recorded THEN 'no recorded sources' END AS reason,
+            CASE WHEN resume THEN '' ELSE ',"version":"' || version || '"' END AS v FROM r),
+        f AS (SELECT *, '{{"sources":[{{"table":"' || table_schema || '.employee"' || v
+            || '}},{{"table":"' || table_schema || '.employee_phone"' || v || '}}]}}' AS file FROM d)
+        SELECT request_id, mode, batch, resume, reason, CASE WHEN reason IS NULL THEN
+            '{{"table":"main.' || table_schema || '.' || table_name || '","source_info":'
+            || CASE WHEN batch THEN '"NA - run as batch table"'
+               ELSE '{{"source_type":"delta","files":[' || file || ',' || file || ']}}' END
+            || '}}' END AS config
+        FROM f""",
+    "ingested_files": """SELECT 'events' AS name, CAST(0 AS BIGINT) AS "batchId",
+            count(*) AS rows FROM events
+        UNION ALL SELECT 'orders', CAST(0 AS BIGINT), count(*) FROM orders""",
     "checkpoint_progress": f"""WITH last AS (SELECT user_id, max(batch_id) AS batch_id
             FROM {BATCHES} WHERE kind = 'commits' GROUP BY user_id)
         SELECT '/checkpoints/u' || user_id AS cp_path, batch_id,

@@ -492,24 +492,23 @@ def source_info_flat(spark, sf):
     )
 
 
+def _file_batches(spark, sf):
+    """Listings of the checkpoints that the audit rows name, two per user."""
+    number = F.explode(F.array(F.lit("/1"), F.lit("/2"))).alias("n")
+    listed = _batches(spark, sf).select("*", number)
+    return listed.withColumn("cp_path", F.concat("cp_path", "n")).drop("n")
+
+
 @query
 def restart_config(spark, sf):
-    """The documents, read back: batch tables, tables that resume, tables that start anew."""
-    plan = _plan(spark, sf).where(F.col("backup_version").isNotNull())
-    made = A.restart_config(plan, F.concat_ws(".", "table_catalog", "table_schema", "table_name"))
-    info = F.get_json_object("config", "$.source_info")
-    parsed = F.from_json(info, D.SOURCE_INFO)
-    return made.select(
-        "request_id",
-        "batch",
-        F.get_json_object("config", "$.table").alias("config_table"),
-        F.when(F.col("batch"), info).alias("note"),
-        F.coalesce(F.size(F.try_element_at(parsed["files"], F.lit(2))["sources"]), F.lit(-1))
-        .cast("bigint")
-        .alias("n_sources"),
-        F.get_json_object(info, "$.files[0].sources[1].table").alias("second_table"),
-        F.get_json_object(info, "$.files[1].sources[0].version").alias("first_version"),
-        F.get_json_object(info, "$.files[0].cp_path").alias("cp_path"),
+    """Every request's document: batch tables, tables that resume or start anew, and why there is none."""
+    path = work_dir(spark, "restore-plan")
+    _plan(spark, sf).write.parquet(path)
+    plan = spark.read.parquet(path)
+    usable = R.usable_checkpoints(A.recorded_checkpoints(plan), _file_batches(spark, sf))
+    table = F.concat_ws(".", "table_catalog", "table_schema", "table_name")
+    return A.restart_config(plan, table, usable).select(
+        "request_id", "mode", "batch", "resume", "reason", "config"
     )
 
 
@@ -539,11 +538,17 @@ def restart_plan(spark, sf):
 
 @query
 def ingested_files(spark, sf):
-    """The files two streams over the tables took in, as their checkpoints list them."""
+    """The files two streams over the tables took in, as their checkpoints list them, and their rows."""
     path = work_dir(spark, "ingested")
+    rows = []
     for name in ("events", "orders"):
         source = S.stream(spark, sf, name)
         await_all([append_stream(source, f"{path}/out/{name}", f"{path}/checkpoints/{name}")])
-    return P.ingested_files(spark, f"{path}/checkpoints/*").select(
-        F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("name"), "batchId"
-    )
+        rows.append(S.table(spark, sf, name).select(F.col("_metadata.file_path").alias("path")))
+    # One form of a path: some writers put more slashes after the scheme.
+    plain = F.regexp_replace("path", "^([A-Za-z0-9]+):/+", "$1:/").alias("path")
+    held = rows[0].unionAll(rows[1]).groupBy(plain).agg(F.count(F.lit(1)).alias("rows"))
+    files = P.ingested_files(spark, f"{path}/checkpoints/*").select(plain, "batchId")
+    files = files.join(held, "path", "left")
+    name = F.regexp_extract("path", r"/([^/]+)\.parquet", 1).alias("name")
+    return files.groupBy(name, "batchId").agg(F.sum("rows").alias("rows"))

@@ -143,13 +143,18 @@ def test_version_available(spark, rows):
     assert rows(got, "request_id", "available") == [(0, False), (1, True), (2, False)]
 
 
-def config(spark, batch, use):
+def config(spark, batch, use, committed=4):
     df = audit(spark, audit_row(batch=batch))
     plan = A.restore_plan(
         requests(spark, {"use_checkpoints": use}), df, ranges(spark), ranges(spark, ("goods", 1, 1))
     )
     table = F.concat_ws(".", "table_catalog", "table_schema", "table_name")
-    return json.loads(A.restart_config(plan, table).first().config)
+    there = {"commits": range(committed + 1), "offsets": range(9)}
+    listed = listing(spark, {"/cp/1": there, "/cp/2": there})
+    usable = R.usable_checkpoints(A.recorded_checkpoints(plan), listed)
+    row = A.restart_config(plan, table, usable).first()
+    assert row.resume == (batch == "false" and use == "true" and committed >= 4)
+    return json.loads(row.config)
 
 
 def test_restart_documents(spark):
@@ -163,10 +168,27 @@ def test_restart_documents(spark):
         "source_info": {"source_type": "parquet", "files": [{"sources": sources}] * 2},
     }
     versioned = [{**s, "version": "12"} for s in sources]
-    assert config(spark, "false", "false") == {
+    again = {
         "table": "main.shop.goods",
         "source_info": {"source_type": "parquet", "files": [{"sources": versioned}] * 2},
     }
+    assert config(spark, "false", "false") == again
+    # A recorded batch is missing, so the streams cannot resume.
+    assert config(spark, "false", "true", committed=3) == again
+
+
+def test_requests_without_a_document_keep_their_row(spark, rows):
+    plan = A.restore_plan(
+        requests(spark, {"version": "1"}, {"version": "2"}, {"version": "9"}),
+        audit(spark, audit_row(version=1, day=1)),
+        ranges(spark, ("goods", 1, 4)),
+        ranges(spark, ("goods", 1, 4)),
+    )
+    usable = R.usable_checkpoints(A.recorded_checkpoints(plan), listing(spark, {}))
+    made = A.restart_config(plan, F.col("table_name"), usable)
+    assert rows(made, "request_id", "reason", (F.col("config").isNull()).alias("none")) == [
+        (0, None, False), (1, "no recorded sources", True), (2, "no readable version", True),
+    ]
 
 
 def test_source_documents_are_flattened(spark, rows):
