@@ -82,8 +82,10 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[
     label = np.arange(len(a), len(a) + len(b))
     mine = label if same else np.arange(len(a))
     links = []
+    # numpy counts the bits of a signed number's absolute value
+    left, right = a.view(np.uint64), b.view(np.uint64)
     for i in range(0, len(a), 16):
-        hit = np.bitwise_count(a[i : i + 16, None] ^ b[None, :]) <= radius
+        hit = np.bitwise_count(left[i : i + 16, None] ^ right[None, :]) <= radius
         for k in np.flatnonzero(hit.any(axis=1)):
             at = np.flatnonzero(hit[k])
             groups, first = np.unique(label[at], return_index=True)
