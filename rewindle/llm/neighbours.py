@@ -9,8 +9,8 @@ ones. Then rounds of NN-descent: a node's neighbours, and a bounded draw of the
 of, meet there and are compared with each other (a join brings their codes together), and each keeps the
 ``degree`` nearest it has met in any round.
 
-Search. A query starts from its own node. Each round expands its nearest unexpanded nodes: a join
-with the graph, whose rows hold the neighbours' codes and are bucketed by node, so that only queries move. Codes are
+Search. A query starts from its own node and a few of large norm. Each round expands its nearest unexpanded nodes: a join
+with the graph, taken both ways, whose rows hold the neighbours' codes and are bucketed by node, so that only queries move. Codes are
 vectors in bytes with a scale; the best of the pool are scored anew from the original vectors in double precision.
 
 Rows without id take no part, nor do vectors that are null, zero, of another length than most, or that hold a null or
@@ -41,8 +41,8 @@ TOP = 20
 class Settings:
     """``degree`` neighbours a node keeps, ``drawn`` nodes it is a neighbour of that join it in a round,
     ``met`` nodes each one takes from a meeting, ``trees`` first dealings into blocks of about ``block`` nodes, ``rounds``
-    of NN-descent; in a search ``width`` nodes expanded in a round, ``steps`` rounds at most, ``pool`` nodes remembered, and
-    ``exact`` of them scored from the original vectors."""
+    of NN-descent; in a search ``width`` nodes expanded in a round, ``steps`` rounds at most, ``pool`` nodes remembered, ``exact`` of them
+    scored from the original vectors, and ``entries`` nodes of large norm from which every search starts too."""
 
     degree: int = 32
     drawn: int = 12
@@ -54,6 +54,7 @@ class Settings:
     steps: int = 8
     pool: int = 400
     exact: int = 64
+    entries: int = 8
 
 
 def _coded(x: np.ndarray) -> list[bytes]:
@@ -234,16 +235,42 @@ def graph_of(table: DataFrame, s: Settings) -> DataFrame:
 _POOL = "q long, qnode long, qcode binary, ids array<long>, sims array<float>, done array<boolean>"
 
 
+def _asked(ids: DataFrame, table: DataFrame) -> DataFrame:
+    """(``q``, ``node``, ``code``, ``own``): queries, coded as unit vectors without the added component.
+
+    So their product with a node's code orders nodes as the inner product does, whatever the norms.
+    """
+    kind = table.schema["emb"].dataType.simpleString()
+
+    def code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                x = part.column("emb").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                x = np.c_[x / np.sqrt((x * x).sum(axis=1, keepdims=True)), np.zeros(len(x))].astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("q"), part.column("node"), pa.array(_coded(x), pa.binary()), part.column("emb")], ["q", "node", "code", "own"])
+
+    rows = ids.join(table, "emb").select("q", "node", "emb")
+    return rows.mapInArrow(code, f"q long, node long, code binary, own {kind}")
+
+
 def _searched(table: DataFrame, graph: DataFrame, queries: DataFrame, s: Settings) -> DataFrame:
     """(``q``, ``node``) for the best nodes that each query's search has met."""
     spark = table.sparkSession
     buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name, path = f"graph_{uuid.uuid4().hex}", shared_path(spark, "bucketed-graph")
+    # both ways, so that a node few others hold among their nearest can be reached from its own
+    nearest = Window.partitionBy("w").orderBy(F.desc("sim"), "u")
+    back = graph.withColumn("n", F.row_number().over(nearest)).where(f"n <= {s.drawn}").select(F.col("w").alias("u"), F.col("u").alias("w"))
+    graph = graph.select("u", "w").unionAll(back).distinct()
     rich = graph.join(table.select(F.col("node").alias("w"), "code"), "w").groupBy("u").agg(F.collect_list(F.struct("w", "code")).alias("near"))
     rich = rich.select("u", F.col("near.w").alias("ws"), F.col("near.code").alias("codes"))
     rich.repartition(buckets, "u").write.bucketBy(buckets, "u").option("path", path).saveAsTable(name)
     rich = spark.table(name)
-    start = queries.select("q", F.col("node").alias("qnode"), F.col("code").alias("qcode"), F.array("node").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(False)).alias("done"))
+    # besides the query's own node, those with the largest norms: they are near to many
+    square = F.aggregate(F.transform("emb", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    entries = [r["node"] for r in table.orderBy(F.desc(square), "node").select("node").limit(s.entries).collect()]
+    start = queries.select("q", F.col("node").alias("qnode"), F.col("code").alias("qcode"), F.array_distinct(F.array("node", *[F.lit(x) for x in entries])).alias("ids"))
+    start = start.withColumns({"sims": F.transform("ids", lambda x: F.lit(1.0).cast("float")), "done": F.transform("ids", lambda x: F.lit(False))})
     pools = written(start, "pools")
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +330,7 @@ def searched(df: DataFrame, every: int = 20, top: int = TOP, settings: Settings
     graph = graph_of(table.select("node", "code", "blocks"), settings)
     # an id divisible by ``every`` may be beyond the smallest ids of its vector
     ids = usable(df, id, vector)[0].where(F.col("id") % every == 0).withColumnRenamed("id", "q")
-    asked = written(ids.join(table, "emb").select("q", "node", "code", F.col("emb").alias("own")), "queries")
+    asked = written(_asked(ids, table), "queries")
     found = _searched(table, graph, asked, settings)
     pairs = found.join(table.select("node", "ids", "emb"), "node").join(asked.select("q", "own"), "q")
     product = F.aggregate(F.zip_with("own", "emb", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)

@@ -1,0 +1,310 @@
+"""Operators on documents: rules, shards, packing, near copies, pieces, personal data."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rewindle.llm import packing, pieces, pii, quality, sharding, simhash
+from rewindle.llm.components import components
+from rewindle.llm.queries import tokenizer
+from rewindle.llm.tagger import Tagger
+from rewindle.llm.tokens import tokens
+
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# ---- quality rules
+def measures(text):
+    w = SPLIT.findall(text or "")
+    grams = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if SPLIT.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(quality.SYMBOLS, text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_measures_equal_a_plain_count(hard, hard_rows, rows):
+    found = rows(quality.judged(hard.select("doc_id", "text")), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    want = [(d, *(m := measures(t)), m[0] < 50 or 100 * m[4] > 50 * m[0]) for d, t in hard_rows]
+    assert found == sorted(want, key=repr)
+
+
+def test_windows_whose_hashes_meet_are_compared_word_by_word(spark, rows, monkeypatch):
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    df = spark.createDataFrame([(1, "a b c d a b c e"), (2, "a b c d e")], "doc_id int, text string")
+    assert rows(quality.measured(df), "doc_id", "n_repeat_words") == [(1, 6), (2, 0)]
+
+
+def test_filter_keeps_rows_and_columns(hard, nothing, rows):
+    kept = quality.well_formed(hard)
+    assert kept.columns == hard.columns
+    good = {r["doc_id"] for r in quality.judged(hard.select("doc_id", "text")).where("kept").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == good and 2 in good and 26 not in good
+    assert quality.well_formed(nothing).count() == 0
+
+
+# ---- shards
+def smallest(sizes, shards):
+    def fits(most):
+        n, room = 0, 0
+        for s in sizes:
+            if s > most:
+                return False
+            if s > room:
+                n, room = n + 1, most
+            room -= s
+        return n <= shards
+
+    low, high = 1, sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid) else (mid + 1, high)
+    return low
+
+
+@pytest.mark.parametrize(("fetch", "shards"), [(20_000, 4), (0, 3), (0, 40)])
+def test_shards_are_minimax_and_whole(hard, hard_rows, monkeypatch, fetch, shards):
+    monkeypatch.setattr(sharding, "FETCH", fetch)
+    got = sharding.sharded(hard, shards).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, size(t), zlib.crc32((t or "").encode())) for d, t in hard_rows)
+    groups = defaultdict(int)
+    for _, t in hard_rows:
+        groups[hashlib.sha256((t or "").encode()).digest()] += size(t)
+    by, slots, homes = defaultdict(int), defaultdict(list), defaultdict(set)
+    for r in got:
+        by[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        homes[r["text_crc32"]].add(r["shard"])
+    assert max(by.values()) == smallest([groups[d] for d in sorted(groups)], shards)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(by) < shards
+    assert all(len(x) == 1 for x in homes.values())
+
+
+def test_no_rows_no_shards(nothing):
+    assert sharding.sharded(nothing, 16).count() == 0
+
+
+# ---- packing
+TEXTS = ["It's a TEST''s l'll x²3½ a\xa0b º ª", "<|endoftext|> hi<|x|>", "ÀÉ '' '´ “quoted” café ΣΑΣ İ 中文　x y ́z", "", "\n \t", "a\x1cb\x1fc \x85"]
+
+
+def test_ids_are_the_tokenizers(hard_rows):
+    own = tokens(tokenizer("word_bpe_49k.json"))
+    for text in TEXTS + [t or "" for _, t in hard_rows]:
+        assert own.ids(text) == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_places_every_piece(hard, hard_rows, nothing):
+    path = tokenizer("word_bpe_49k.json")
+    capacity = packing.Capacity(tokens=200, documents=3)
+    for score in ("norm", "dot"):
+        got = packing.packed(hard, path, capacity, score=score).collect()
+        want = Counter()
+        for d, t in hard_rows:
+            ids = tokens(path).ids(t or "") + b"\0\0\0\0"
+            for k in range(0, len(ids), 800):
+                want[d, k // 800, k // 4, len(ids[k : k + 800]) // 4, zlib.crc32(ids[k : k + 800])] += 1
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+        by = defaultdict(list)
+        for r in got:
+            by[r["sequence_id"]].append((r["offset"], r["length"]))
+        for own in by.values():
+            own.sort()
+            assert [o for o, _ in own] == np.cumsum([0] + [n for _, n in own[:-1]]).tolist()
+            assert sum(n for _, n in own) <= 200 and len(own) <= 3
+    assert packing.packed(nothing, path).count() == 0
+
+
+def test_best_fit_respects_all_capacities_and_wastes_little():
+    lengths = np.random.default_rng(3).integers(1, 2048, 3000)
+    bins, _ = packing.best_fit(lengths, (2048, 2048, 2048**2), (1.0, 0.05, 0.05), "norm")
+    assert bins.max() + 1 <= 1.03 * -(-lengths.sum() // 2048)
+    bins, _ = packing.best_fit(lengths, (4096, 5, 2048**2), (1.0, 1.0, 1.0), "dot")
+    for b in range(bins.max() + 1):
+        own = lengths[bins == b]
+        assert own.sum() <= 4096 and len(own) <= 5 and (own**2).sum() <= 2048**2
+    with pytest.raises(ValueError):
+        packing.Capacity(attention=5).sizes()
+
+
+# ---- near copies
+def brute_fingerprint(text):
+    import xxhash
+
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w = SPLIT.findall(low)
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    votes = Counter(b for g in grams for b in range(64) if xxhash.xxh64_intdigest(g.encode(), seed=42) >> b & 1)
+    return sum(1 << b for b in votes if 2 * votes[b] > len(grams))
+
+
+def closure(prints, radius):
+    at = list(range(len(prints)))
+    near = [[j for j, q in enumerate(prints) if (p ^ q).bit_count() <= radius] for p in prints]
+    while (new := [min(at[j] for j in n) for n in near]) != at:
+        at = new
+    return at
+
+
+def test_classes_equal_all_pairs(hard, hard_rows, nothing):
+    prints = [brute_fingerprint(t) for _, t in hard_rows]
+    root = closure(prints, 3)
+    least = defaultdict(lambda: None)
+    for (d, _), r in zip(hard_rows, root, strict=True):
+        least[r] = d if least[r] is None else least[r] if d is None else min(d, least[r])
+    want = Counter((d, f"{p:016x}", least[r]) for (d, _), p, r in zip(hard_rows, prints, root, strict=True))
+    assert Counter(tuple(r) for r in simhash.classes(hard).select("doc_id", "fingerprint", "component_id").collect()) == want
+    kept = simhash.one_of_each(hard)
+    assert kept.columns == hard.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == sorted((x is None, x) for x in least.values())
+    assert simhash.classes(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 3])
+def test_tiles_lose_no_link(spark, monkeypatch, radius):
+    monkeypatch.setattr(simhash, "TILE", 40)
+    pick = random.Random(radius)
+    prints = [pick.getrandbits(64) for _ in range(150)]
+    prints += [p ^ (1 << pick.randrange(64)) ^ (1 << pick.randrange(64)) for p in prints for _ in range(2)]
+    prints += [pick.getrandbits(3) << 60 | b for b in range(300) for _ in range(1)]
+    prints = sorted(set(prints))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    roots = {r["node"]: r["root"] for r in components(simhash.links(df, radius)).collect()}
+    groups = defaultdict(set)
+    for p, c in zip(signed, closure(prints, radius), strict=True):
+        groups[c].add(p)
+    assert Counter(roots.get(p, p) for p in signed) == Counter(min(g) for g in groups.values() for _ in g)
+
+
+def test_finer_parts_reach_all_that_halves_reach():
+    for parts in (2, 4, 8):
+        steps = set(simhash._steps(parts, 3))
+        bits = 64 // parts
+        key = lambda x, n=parts, b=bits: sum((x >> b * i & (1 << b) - 1).bit_count() << 7 * i for i in range(n))
+        pick = random.Random(parts)
+        for _ in range(500):
+            p = pick.getrandbits(64)
+            q = p ^ sum(1 << b for b in pick.sample(range(64), pick.randrange(4)))
+            assert abs(key(p) - key(q)) in steps
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.range(300).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y")).unionAll(spark.createDataFrame([(900, 901)], "x long, y long"))
+    assert {(r["node"], r["root"]) for r in components(edges).collect()} == {(i, 0) for i in range(301)} | {(900, 900), (901, 900)}
+
+
+# ---- pieces
+def test_ids_are_sentencepieces(hard, hard_rows, nothing):
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    own, lib = pieces.pieces(path, True), sentencepiece.SentencePieceProcessor(model_file=path)
+    pick = random.Random(0)
+    parts = ["a", "e", "th", "the ", "  ", " ", "\n", "é", "中", "①", "▁", "ing", "tion", "    ", "er", "1", "20", ".", "\x00", "🙂"]
+    made = ["".join(pick.choice(parts) for _ in range(pick.randrange(30))) for _ in range(800)]
+    for text in made + [t or "" for _, t in hard_rows]:
+        assert own.encode(text) == np.array(lib.encode(text), "<u4").tobytes()
+        assert own.decode(own.encode(text)) == text.replace("▁", " ")
+    got = pieces.round_trips(hard, path, True)
+    assert got.count() == len(hard_rows) and got.where("NOT round_trip").count() == 0
+    back = pieces.decoded(pieces.encoded(hard, path, True), path, True)
+    assert Counter(tuple(r) for r in back.collect()) == Counter((d, t or "") for d, t in hard_rows)
+    assert pieces.round_trips(nothing, path, True).count() == 0
+
+
+def test_viterbi_takes_the_best_sum():
+    model = object.__new__(pieces.Pieces)
+    import ahocorasick
+
+    model.names, model.scores, model.merges = ["a", "b", "ab", "ba", "aba"], [-1.0, -1.5, -1.2, -4.0, -2.9], False
+    model.plain, model.bytes, model.unknown = {n: i for i, n in enumerate(model.names)}, [0] * 256, 7
+    model.automaton = ahocorasick.Automaton()
+    for n, i in model.plain.items():
+        model.automaton.add_word(n, (i, len(n)))
+    model.automaton.make_automaton()
+
+    def best(text):
+        if not text:
+            return 0.0
+        return max(best(text[: -len(n)]) + model.scores[i] for n, i in model.plain.items() if text.endswith(n))
+
+    pick = random.Random(2)
+    for _ in range(200):
+        text = "".join(pick.choice("ab") for _ in range(pick.randrange(1, 12)))
+        ids = model.segments(text)
+        assert "".join(model.names[i] for i in ids) == text and abs(sum(model.scores[i] for i in ids) - best(text)) < 1e-9
+    assert model.segments("axb") == [0, 7, 1]
+
+
+# ---- personal data
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            double = "".join(str(int(c) * (1 + i % 2)) for i, c in enumerate(reversed(digits)))
+            good = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 14 <= len(digits) <= 19 and sum(map(int, double)) % 10 == 0, "phone": 10 <= len(digits) <= 15}
+            out += [(kind, *m.span())] if good[kind] else []
+    return sorted(out, key=lambda s: (s[1], list(PATTERNS).index(s[0])))
+
+
+def test_base_spans_equal_the_plain_patterns():
+    pick = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(pick.choice("aB1409 .-+@_()%5\n") for _ in range(pick.randrange(60)))
+        assert pii.base_spans(text) == plain_spans(text), text
+    assert pii.base_spans("9" * 50_000 + "a" * 50_000 + "@") == []
+
+
+def test_gradients_are_right():
+    rng = np.random.default_rng(0)
+    model, chars = Tagger.fresh(1, hidden=3, embedded=4), rng.integers(0, 20, (3, 7))
+    labels = np.array([[0, 1, 2, 2, 0, 1, 0], [0] * 7, [1, 2, 0, 0, 1, 2, 2]])
+    _, g = model.gradients(chars, labels)
+    for name, i in {"A": (0, 1), "s": (0,), "V": (2, 2), "c": (1,), "Uf": (0, 9), "Wb": (2, 3), "bf": (4,), "E": (chars[0, 0], 1)}.items():
+        x = model.p[name][i]
+        sides = []
+        for d in (1e-5, -1e-5):
+            model.p[name][i] = x + d
+            sides.append(model.gradients(chars, labels)[0])
+        model.p[name][i] = x
+        assert abs(g[name][i] - (sides[0] - sides[1]) / 2e-5) < 1e-6
+
+
+def test_reconciling_weighs_whole_texts():
+    assert pii.reconciled([("phone", 0, 5), ("phone", 4, 12), ("phone", 4, 12), ("ip", 12, 15)]) == [("phone", 4, 12), ("ip", 12, 15)]
+    assert pii.reconciled([]) == []
+    assert pii.windows("x" * 500) == [] and pii.windows("1") == [0]
+    text = "x" * 300 + "7" + "x" * 300
+    assert pii.windows(text) == [a for a in range(0, 505, pii.STRIDE) if a <= 300 < a + pii.WIDTH]
+
+
+def test_trained_tagger_adds_what_patterns_miss_and_little_else(spark, hard, nothing):
+    pick = random.Random(4)
+    phone = lambda: f"+1 ({pick.randrange(200, 999)}) 555-{pick.randrange(1000, 9999)}"
+    email = lambda: f"{pick.choice(['ab', 'kit', 'joe'])}{pick.randrange(99)}@mail{pick.randrange(9)}.example.com"
+    address = lambda: ".".join(str(pick.randrange(256)) for _ in range(4))
+    texts = [(i, f"{'word and more ' * pick.randrange(1, 6)}{pick.choice([phone, email, address])()} {'then other text ' * 5}") for i in range(400)]
+    texts += [(i, f"plain text of {pick.randrange(10_000)} words and no one's data") for i in range(400, 500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    model = pii.train(df)
+    held = [f"some words {phone()[3:]} and more of them" for _ in range(50)]
+    added = [len(all_) for base, all_ in pii.spans_of(held, model) if not base]
+    assert sum(added) >= 40
+    clean = [f"we saw {pick.randrange(10_000)} of them in {pick.randrange(1900, 2030)} and on" for _ in range(100)]
+    assert sum(len(all_) for _, all_ in pii.spans_of(clean, model)) == 0
+    got = pii.digests(hard, model)
+    assert got.count() == hard.count() and pii.digests(nothing, model).count() == 0 and pii.train(nothing) is None
+    hidden = pii.masked(df, model).collect()
+    assert all("555-" not in r["text"] and "@" not in r["text"] for r in hidden)
+    assert pii.masked(hard, None).columns == hard.columns
+    assert pii.masked_text("a x@y.z b", [("email", 2, 7)]) == "a <email> b"
