@@ -12,6 +12,7 @@ from rewindle.operators.joins import FAIL, broadcast_if_small
 from rewindle.operators.merge import changed_keys
 from rewindle.operators.versions import TYPE, VERSION, as_of
 from rewindle.sources.changelog import ChangeLog, stream_writer
+from rewindle.session import work_dir
 from rewindle.sources.files import with_time
 
 
@@ -88,9 +89,11 @@ def upsert_stream(
                 return
             name = stream_writer(batch, writer)
             version, _ = target.version_for(spark, name, batch_id)
-            changes = upsert_changes(
-                target.read(spark, end=version - 1), current_rows(changed), keys
-            )
+            # Written once: the upsert reads the rows several times.
+            path = work_dir(spark, "upsert")
+            current_rows(changed).write.parquet(path)
+            rows = spark.read.parquet(path)
+            changes = upsert_changes(target.read(spark, end=version - 1), rows, keys)
             target.append(changes, version, name, batch_id)
         finally:
             changed.unpersist()
