@@ -9,7 +9,7 @@ ones. Then rounds of NN-descent: a node's neighbours, and a bounded draw of the
 of, meet there and are compared with each other (a join brings their codes together), and each keeps the
 ``degree`` nearest it has met in any round.
 
-Search. A query starts from its own node and a few of large norm. Each round expands its nearest unexpanded nodes: a join
+Search. A query starts from its own node (and, if asked, a few of large norm). Each round expands its nearest unexpanded nodes: a join
 with the graph, taken both ways, whose rows hold the neighbours' codes and are bucketed by node, so that only queries move. Codes are
 vectors in bytes with a scale; the best of the pool are scored anew from the original vectors in double precision.
 
@@ -42,7 +42,8 @@ class Settings:
     """``degree`` neighbours a node keeps, ``drawn`` nodes it is a neighbour of that join it in a round,
     ``met`` nodes each one takes from a meeting, ``trees`` first dealings into blocks of about ``block`` nodes, ``rounds``
     of NN-descent; in a search ``width`` nodes expanded in a round, ``steps`` rounds at most, ``pool`` nodes remembered, ``exact`` of them
-    scored from the original vectors, and ``entries`` nodes of large norm from which every search starts too."""
+    scored from the original vectors, and ``entries`` nodes of large norm from which every search starts too: useful where norms differ much, but all queries then
+    ask for the same few nodes."""
 
     degree: int = 32
     drawn: int = 12
@@ -54,7 +55,7 @@ class Settings:
     steps: int = 8
     pool: int = 400
     exact: int = 64
-    entries: int = 8
+    entries: int = 0
 
 
 def _coded(x: np.ndarray) -> list[bytes]:

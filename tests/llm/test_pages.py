@@ -122,7 +122,7 @@ def test_search_reaches_nine_tenths(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(2000, None), (2020, [0.0] * 24), (2040, [float("nan")] * 24), (2060, [1.0, None] * 12), (2080, [1.0] * 3), (2100, [float("inf")] * 24), (None, [1.0] * 24), (0, rows[0][1])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumns({"node": F.lit(1), "q": F.lit(1), "code": F.lit(0)})
-    small = neighbours.Settings(degree=16, block=100, rounds=2, width=16, steps=5, pool=120)
+    small = neighbours.Settings(degree=16, block=100, rounds=2, width=16, steps=5, pool=120, entries=8)
     got = defaultdict(list)
     for r in neighbours.searched(df, settings=small).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
