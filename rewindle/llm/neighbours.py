@@ -9,9 +9,10 @@ ones. Then rounds of NN-descent: a node's neighbours, and a bounded draw of the
 of, meet there and are compared with each other (a join brings their codes together), and each keeps the
 ``degree`` nearest it has met in any round.
 
-Search. A query starts from its own node (and, if asked, a few of large norm). Each round expands its nearest unexpanded nodes: a join
+Search. A query starts from its own node and from the nearest to it of a bounded number of nodes of large norm, which
+every task holds, so that searches do not all meet in the same few nodes. Each round expands its nearest unexpanded nodes: a join
 with the graph, taken both ways, whose rows hold the neighbours' codes and are bucketed by node, so that only queries move. Codes are
-vectors in bytes with a scale; the best of the pool are scored anew from the original vectors in double precision.
+vectors in bytes with a scale and the added component apart; the best of the pool are scored anew from the original vectors in double precision.
 
 Rows without id take no part, nor do vectors that are null, zero, of another length than most, or that hold a null or
 non-finite component. Rows that share an id count once, with the least of their vectors. Ties go to the
@@ -42,8 +43,8 @@ class Settings:
     """``degree`` neighbours a node keeps, ``drawn`` nodes it is a neighbour of that join it in a round,
     ``met`` nodes each one takes from a meeting, ``trees`` first dealings into blocks of about ``block`` nodes, ``rounds``
     of NN-descent; in a search ``width`` nodes expanded in a round, ``steps`` rounds at most, ``pool`` nodes remembered, ``exact`` of them
-    scored from the original vectors, and ``entries`` nodes of large norm from which every search starts too: useful where norms differ much, but all queries then
-    ask for the same few nodes."""
+    scored from the original vectors, and ``entries`` nodes from which a search starts too, the nearest to the query of the ``large`` nodes of largest
+    norm: where norms differ much, the nearest by inner product are far from the query's own node."""
 
     degree: int = 32
     drawn: int = 12
@@ -55,19 +56,24 @@ class Settings:
     steps: int = 8
     pool: int = 400
     exact: int = 64
-    entries: int = 0
+    entries: int = 40
+    large: int = 1024
 
 
 def _coded(x: np.ndarray) -> list[bytes]:
-    """Each row as a single-precision scale and signed bytes."""
-    scale = (np.abs(x).max(axis=1, keepdims=True) / 127).astype("<f4")
-    whole = np.rint(x / np.maximum(scale, 1e-30)).astype(np.int8)
-    return [s.tobytes() + w.tobytes() for s, w in zip(scale, whole, strict=True)]
+    """Each row as a scale and its last component in single precision, and the others in signed bytes.
+
+    The last one is near one in a vector of small norm; in bytes by one scale with it, the others would all be zero.
+    """
+    scale = (np.abs(x[:, :-1]).max(axis=1, keepdims=True) / 127).astype("<f4")
+    whole = np.rint(x[:, :-1] / np.maximum(scale, 1e-30)).astype(np.int8)
+    return [s.tobytes() + w.tobytes() for s, w in zip(np.c_[scale, x[:, -1:]].astype("<f4"), whole, strict=True)]
 
 
 def _vectors(codes: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+    floats = np.ascontiguousarray(raw[:, :8]).view("<f4")
+    return np.c_[raw[:, 8:].view(np.int8).astype(np.float32) * floats[:, :1], floats[:, 1:]]
 
 
 def _rows(columns: dict[str, tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -254,6 +260,33 @@ def _asked(ids: DataFrame, table: DataFrame) -> DataFrame:
     return rows.mapInArrow(code, f"q long, node long, code binary, own {kind}")
 
 
+def _started(queries: DataFrame, table: DataFrame, s: Settings) -> DataFrame:
+    """The pools that searches start with: the query's own node and its entries."""
+    square = F.aggregate(F.transform("emb", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    large = table.orderBy(F.desc(square), "node").select("node", "code").limit(s.large).collect() if s.entries else []
+    numbers, codes = [r["node"] for r in large], [bytes(r["code"]) for r in large]
+
+    def start(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = np.array(numbers, np.int64)
+        x = _vectors(codes) if codes else None
+        for part in parts:
+            if not part.num_rows:
+                continue
+            ids, sims = [[n] for n in part.column("node").to_pylist()], [[1.0] for _ in range(part.num_rows)]
+            if x is not None:
+                near = _vectors(part.column("code").to_pylist()) @ x.T
+                best = np.argsort(-near, axis=1, kind="stable")[:, : s.entries]
+                for own, value, at, row in zip(ids, sims, best, near, strict=True):
+                    at = at[others[at] != own[0]]
+                    own += others[at].tolist()
+                    value += row[at].tolist()
+            done = [[False] * len(i) for i in ids]
+            arrays = [part.column("q"), part.column("node"), part.column("code"), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32())), pa.array(done, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["q", "qnode", "qcode", "ids", "sims", "done"])
+
+    return queries.select("q", "node", "code").mapInArrow(start, _POOL)
+
+
 def _searched(table: DataFrame, graph: DataFrame, queries: DataFrame, s: Settings) -> DataFrame:
     """(``q``, ``node``) for the best nodes that each query's search has met."""
     spark = table.sparkSession
@@ -267,12 +300,7 @@ def _searched(table: DataFrame, graph: DataFrame, queries: DataFrame, s: Setting
     rich = rich.select("u", F.col("near.w").alias("ws"), F.col("near.code").alias("codes"))
     rich.repartition(buckets, "u").write.bucketBy(buckets, "u").option("path", path).saveAsTable(name)
     rich = spark.table(name)
-    # besides the query's own node, those with the largest norms: they are near to many
-    square = F.aggregate(F.transform("emb", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    entries = [r["node"] for r in table.orderBy(F.desc(square), "node").select("node").limit(s.entries).collect()]
-    start = queries.select("q", F.col("node").alias("qnode"), F.col("code").alias("qcode"), F.array_distinct(F.array("node", *[F.lit(x) for x in entries])).alias("ids"))
-    start = start.withColumns({"sims": F.transform("ids", lambda x: F.lit(1.0).cast("float")), "done": F.transform("ids", lambda x: F.lit(False))})
-    pools = written(start, "pools")
+    pools = written(_started(queries, table, s), "pools")
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -134,6 +134,19 @@ def test_search_reaches_nine_tenths(spark):
         assert np.allclose([s for _, s in own], x[[i for i, _ in own]] @ x[q], atol=1e-9) and own == sorted(own, key=lambda o: (-o[1], o[0]))
 
 
+def test_shipped_settings_reach_nine_tenths_with_mixed_norms(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 48))[rng.integers(0, 60, 4000)] + 0.6 * rng.normal(size=(4000, 48))
+    x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(rng.normal(0, 1.2, (4000, 1))), 4)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.searched(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = brute(range(4000), x)
+    assert set(got) == set(want)
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9
+
+
 def test_few_vectors_give_all_candidates(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, embedding array<double>")
     assert [tuple(r)[:3] for r in neighbours.searched(df).orderBy("rank").collect()] == [(0, k, k) for k in range(1, 5)]
