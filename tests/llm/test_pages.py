@@ -57,6 +57,16 @@ def test_structure_decides_first():
     assert html.divided('<main>m <header>h</header></main><p title="never closed>x')[0] == "m"
 
 
+def test_labels_do_not_drop_whole_articles():
+    wrapped = '<div class="layout has-sidebar"><header>h</header><article><p>one<div class="share">s</div><p>two</article><div class="sidebar">x</div></div>'
+    assert html.divided(wrapped)[0] == "one\ntwo"
+    assert html.divided('<div id="header-and-content"><main>m text<div class="sidebar">x</div></main></div>')[0] == "m text"
+    comment = '<article class="comment">c</article>'
+    assert html.divided(f"<main>body</main>{comment}")[0] == "body"
+    assert html.divided(f"<div>body</div>{comment}") == (None, [(True, "body"), (False, "c")])
+    assert html.divided("<main>body</main><div id=comments><article>longer than the body</article></div>")[0] == "body"
+
+
 def test_host_stream_keeps_unique_runs(spark):
     menu = " ".join(f"m{i}" for i in range(30))
     pages = [(i, f"http://a.example/{i}", f"<div>{menu}</div><p>{i} own text of the page</p>") for i in range(6)]
