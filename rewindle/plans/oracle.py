@@ -153,6 +153,16 @@ ORACLE = {
             ORDER BY _commit_version DESC, event_id DESC) AS rn FROM {LOG}
             WHERE _commit_version <= 5) WHERE rn = 1 AND _change_type <> 'delete'
         UNION ALL SELECT * FROM {LOG} WHERE _commit_version > 5""",
+    "change_feed_follow": f"""SELECT {EVENT}, 'insert' AS _change_type,
+            CAST(5 AS BIGINT) AS _commit_version FROM {_state(5)}
+        UNION ALL SELECT {EVENT}, _change_type, _commit_version FROM {LOG} WHERE _commit_version > 5""",
+    "backup_consistency": f"""WITH late AS (SELECT {EVENT} FROM events WHERE day(ts) > 24),
+        other AS (SELECT * REPLACE (CASE WHEN event_type = 'signup' THEN -value ELSE value END AS value)
+            FROM late WHERE event_type <> 'error')
+        SELECT *, 'left' AS side, 'apart' AS stage FROM (FROM late EXCEPT ALL FROM other)
+        UNION ALL SELECT *, 'right', 'apart' FROM (FROM other EXCEPT ALL FROM late)""",
+    "table_diff_tree": f"""SELECT *, 'left' AS side FROM (FROM {_state(27)} EXCEPT ALL FROM {_state(28)})
+        UNION ALL SELECT *, 'right' FROM (FROM {_state(28)} EXCEPT ALL FROM {_state(27)})""",
     "change_feed_stream": f"""SELECT {EVENT}, CAST(day(ts) AS INTEGER) AS version
         FROM events WHERE day(ts) >= 5""",
     "change_feed_diff": f"""WITH o AS (SELECT * FROM {_state(10)}),

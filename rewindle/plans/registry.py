@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from rewindle.functions import columns as C
 from rewindle.functions import documents as D
 from rewindle.operators import audit as A
+from rewindle.operators import hashtree as H
 from rewindle.operators import merge as M
 from rewindle.operators import restart as R
 from rewindle.operators import versions as V
 from rewindle.operators.scd2 import START, scd2
 from rewindle.operators.skew import NONE_HEAVY
 from rewindle.plans import samples as S
+from rewindle.plans import consistency as B
 from rewindle.plans.cleaning import FINAL_KEYS, final_rows
 from rewindle.plans.medallion import Medallion
 from rewindle.session import work_dir
@@ -23,6 +25,7 @@ from rewindle.sources import checkpoints as P
 from rewindle.sources import files as I
 from rewindle.sources.changelog import ChangeLog, read_clone
 from rewindle.sources.changelog import clone_table as _clone
+from rewindle.streaming.feed import Feed
 from rewindle.streaming.history import HistoryTable, await_all
 from rewindle.streaming.upsert import append_stream, upsert_stream
 
@@ -280,6 +283,66 @@ def table_diff_strict(spark, sf):
     return M.table_diff(line, orders, ["l_orderkey"], strict=True)
 
 
+@query
+def change_feed_follow(spark, sf):
+    """A new reader of a log at version 5: its rows, then all later changes, with a stop in each phase."""
+    path = work_dir(spark, "feed")
+    events = S.table(spark, sf, "events")
+    timed = S.event_log(events).withColumn(V.TIME, F.col("ts").cast("timestamp"))
+    log = ChangeLog(f"{path}/log", events.schema).create(spark)
+    log.load(timed.where(F.col(V.VERSION) <= 5))
+    feed = Feed(log, tuple(USER), f"{path}/reader", tuple(TIE))
+    append = lambda stream, checkpoint: append_stream(stream, f"{path}/out", checkpoint)
+    feed.run(spark, append, max_files=2, batches=1)  # stops within the snapshot
+    log.load(timed.where(F.col(V.VERSION).between(6, 20)))
+    feed.run(spark, append, max_files=4, max_versions=6, batches=2)  # stops within the changes
+    log.load(timed.where(F.col(V.VERSION) > 20))
+    feed.run(spark, append)
+    return spark.read.schema(feed.schema).parquet(f"{path}/out").drop(V.TIME)
+
+
+@query
+def backup_consistency(spark, sf):
+    """Source and target cloned, both branches fed alike and then apart; what differs after each."""
+    path = work_dir(spark, "consistency")
+    events = S.table(spark, sf, "events")
+    log = ChangeLog(f"{path}/source", events.schema).create(spark)
+    day = F.dayofmonth("ts")
+    main = B.Branch(Feed(log, tuple(USER), f"{path}/feed", tuple(TIE), after=-1), f"{path}/target")
+    for first, last in ((1, 8), (9, 16)):
+        log.commit(spark, events.where(day.between(first, last)), "days", first)
+        main.update(spark)
+    position = main.feed.position(spark)
+    log.commit(spark, events.where(day.between(17, 24)), "days", 17)
+    # The clone's source has the days that its target lacks: its stream goes on after the recorded position.
+    clone = B.clone_branch(spark, main, f"{path}/clone", position)
+    for branch in (main, clone):
+        branch.update(spark)
+    alike = B.compare(spark, main, clone, f"{path}/first")
+    late = events.where(day > 24)
+    log.commit(spark, late, "days", 25)
+    other = late.where("event_type != 'error'").withColumn("value", F.when(F.col("event_type") == "signup", -F.col("value")).otherwise(F.col("value")))
+    clone.feed.log.commit(spark, other, "days", 25)
+    for branch in (main, clone):
+        branch.update(spark)
+    apart = B.compare(spark, main, clone, f"{path}/second")
+    return alike.withColumn("stage", F.lit("alike")).unionByName(apart.withColumn("stage", F.lit("apart")))
+
+
+@query
+def table_diff_tree(spark, sf):
+    """Two versions of the users compared by their hash trees, row by row only where buckets differ."""
+    log, path = _log(spark, sf), work_dir(spark, "trees")
+    columns = S.table(spark, sf, "events").columns
+    sides = [V.as_of(log, USER, v, TIE) for v in (27, 28)]
+    for i, side in enumerate(sides):
+        side.write.parquet(f"{path}/side-{i}")
+    sides = [spark.read.parquet(f"{path}/side-{i}") for i in range(2)]
+    depth = H.depth_for(sides[0].count())
+    trees = tuple(H.build(side, columns, f"{path}/tree-{i}", depth) for i, side in enumerate(sides))
+    return H.tree_diff(*sides, columns, trees)
+
+
 # Upsert and append
 
 
