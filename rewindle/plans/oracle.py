@@ -141,6 +141,7 @@ ORACLE = {
     "scd2_decimal": f"""SELECT *, EXTRACT_DTTM AS __START_AT, lead(EXTRACT_DTTM) OVER (
         PARTITION BY LOAN_ID ORDER BY EXTRACT_DTTM) AS __END_AT FROM {LOAN_WINNERS}""",
     "scd2_stream": HISTORY,
+    "scd2_indexed": HISTORY,
     "scd2_backfill": HISTORY,
     "medallion_chain": FINAL,
     "medallion_incremental": FINAL,

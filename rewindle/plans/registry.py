@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,6 +122,17 @@ def scd2_stream(spark, sf):
     return history.current(spark)
 
 
+@query
+def scd2_indexed(spark, sf):
+    """Events arrive in order in four parts; each reads the files of the history that may hold its users."""
+    plain = _user_history(spark, sf, "scd2-indexed")
+    history = replace(plain, indexed=True)
+    events = S.table(spark, sf, "events")
+    for number, (first, last) in enumerate(((1, 8), (9, 16), (17, 24), (25, 31))):
+        history.apply(events.where(F.dayofmonth("ts").between(first, last)), "parts", number)
+    return history.current(spark)
+
+
 @query
 def scd2_backfill(spark, sf):
     """The backup of the first days is taken in once, the later days as a stream."""

@@ -24,6 +24,7 @@ from rewindle.operators.versions import (
     latest_per_key,
 )
 from rewindle.sources.changelog import ChangeLog, stream_writer
+from rewindle.sources.keyindex import KeyIndex
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,9 @@ class HistoryTable:
     an event shows, and in ``row_version`` the version that wrote it. Of the
     changes of one upstream row the newest counts, and none if that is a delete. A row
     keeps its sequence value; its key may change.
+
+    With ``indexed``, files of the history (and, for upstream rows, of the event log) that hold none
+    of a batch's keys are not read, as long as the batch's keys are few.
     """
 
     path: str
@@ -51,6 +55,7 @@ class HistoryTable:
     deletes: str = "ignore"
     row: str | None = None
     row_version: str | None = None
+    indexed: bool = False
 
     @cached_property
     def events(self) -> ChangeLog:
@@ -65,6 +70,14 @@ class HistoryTable:
         kept = [f for f in source if f.name.lower() not in dropped]
         return ChangeLog(f"{self.path}/history", T.StructType([*kept, *span]))
 
+    @cached_property
+    def key_index(self) -> KeyIndex:
+        return KeyIndex(self.history, self.keys, f"{self.path}/history-index")
+
+    @cached_property
+    def row_index(self) -> KeyIndex:
+        return KeyIndex(self.events, (self.row,), f"{self.path}/events-index")
+
     @property
     def row_keys(self) -> list[str]:
         return [*self.keys, START]
@@ -92,6 +105,8 @@ class HistoryTable:
         added = events.append(batch.where(has_seq), version, writer, batch_id)
         if not added:
             return
+        if self.indexed and self.row is not None:
+            self.row_index.add(spark, version)
         # From here on the batch is read from the log: it need not be kept in memory.
         batch = _without_system(events.read(spark, version, version))
         all_events = _without_system(events.read(spark))
@@ -102,11 +117,14 @@ class HistoryTable:
             # No history yet: build it from all events there are.
             changes = self._build(self._standing(all_events), heavy)
         else:
-            first, lowest = self._first(self._touched(batch, all_events))
-            changes = self._changes(
-                all_events.where(lowest), history.read(spark, end=version - 1), first, heavy
-            )
-        history.append(changes, version, writer, batch_id)
+            first, lowest, many = self._first(self._touched(batch, all_events))
+            if self.indexed:
+                known = self.key_index.read(spark, first.select(*self.keys), version - 1, many)
+            else:
+                known = history.read(spark, end=version - 1)
+            changes = self._changes(all_events.where(lowest), known, first, heavy)
+        if history.append(changes, version, writer, batch_id) and self.indexed:
+            self.key_index.add(spark, version)
 
     def _standing(self, events: DataFrame) -> DataFrame:
         """The events that count: the newest change of each upstream row, without retracted rows."""
@@ -120,16 +138,18 @@ class HistoryTable:
         places = [*self.keys, self.seq]
         if self.row is None:
             return batch.select(*places)
+        if self.indexed:
+            events = _without_system(self.row_index.read(batch.sparkSession, batch.select(self.row).distinct()))
         return events.join(self._rows_of(batch), self.row, "left_semi").select(*places)
 
     def _rows_of(self, events: DataFrame) -> DataFrame:
         return broadcast_if_small(events.select(self.row).distinct())
 
-    def _first(self, batch: DataFrame) -> tuple[DataFrame, Column]:
+    def _first(self, batch: DataFrame) -> tuple[DataFrame, Column, int]:
         """Each key's earliest event in the batch, broadcast if the keys are few.
 
         Also a condition all rebuilt events meet, in a form that lets the scan
-        of the event log skip files and row groups.
+        of the event log skip files and row groups, and the number of keys.
         """
         first = batch.groupBy(*self.keys).agg(F.min(self.seq).alias("__first"))
         kind = first.schema["__first"].dataType
@@ -146,9 +166,9 @@ class HistoryTable:
         if row.keys <= BROADCAST_ROWS:
             first = F.broadcast(first)
         if not exact:
-            return first, F.lit(True)
+            return first, F.lit(True), row["keys"]
         low = F.timestamp_micros(F.lit(row.low)) if as_micros else F.lit(row.low).cast(kind)
-        return first, F.col(self.seq) >= low
+        return first, F.col(self.seq) >= low, row["keys"]
 
     def _changes(self, events, history, first, heavy) -> DataFrame:
         """The differences that the events from ``first`` on make to ``history``."""

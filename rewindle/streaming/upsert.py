@@ -14,6 +14,7 @@ from rewindle.operators.versions import TYPE, VERSION, as_of
 from rewindle.sources.changelog import ChangeLog, stream_writer
 from rewindle.session import work_dir
 from rewindle.sources.files import with_time
+from rewindle.sources.keyindex import KeyIndex
 
 
 def append_stream(
@@ -70,12 +71,14 @@ def upsert_stream(
     target: ChangeLog,
     checkpoint: str,
     writer: str = "upsert",
+    index: KeyIndex | None = None,
 ) -> StreamingQuery:
     """Upsert the target rows of all keys that any source brings, to the sources' present end.
 
     ``current_rows`` gets the batch's keys, each once, and returns the target's
     rows for them from the current tables. Keys are made distinct per batch: no
-    state outlives a batch, so a key that returns is looked up again.
+    state outlives a batch, so a key that returns is looked up again. With an
+    ``index`` of the target, only its files that may hold a key of the batch are read.
     """
     stream = sources[0].select(*keys)
     for s in sources[1:]:
@@ -93,8 +96,13 @@ def upsert_stream(
             path = work_dir(spark, "upsert")
             current_rows(changed).write.parquet(path)
             rows = spark.read.parquet(path)
-            changes = upsert_changes(target.read(spark, end=version - 1), rows, keys)
-            target.append(changes, version, name, batch_id)
+            if index is None:
+                known = target.read(spark, end=version - 1)
+            else:
+                known = index.read(spark, changed, version - 1)
+            written = target.append(upsert_changes(known, rows, keys), version, name, batch_id)
+            if index is not None and written:
+                index.add(spark, version)
         finally:
             changed.unpersist()
 
