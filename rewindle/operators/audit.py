@@ -76,15 +76,20 @@ def backup_rows(
     at: Column,
     source_info: Column | None = None,
     table_info: Column | None = None,
+    error: Column | None = None,
 ) -> DataFrame:
-    """The audit rows of a run that backs up all tables that are due."""
-    found = F.col("head_version").isNotNull()
+    """The audit rows of a run that backs up all tables that are due.
+
+    ``error`` says why a table's copy failed; null where it did not.
+    """
     none = F.lit(None).cast("string")
+    missing = F.when(F.col("head_version").isNull(), "table not found")
+    failure = missing if error is None else F.coalesce(missing, error)
     return due.where("due").select(
         F.lit(layer).alias("layer"),
         *TABLE,
-        F.when(found, SUCCESS).otherwise(FAILED).alias("backup_status"),
-        F.when(~found, "table not found").alias("exception"),
+        F.when(failure.isNull(), SUCCESS).otherwise(FAILED).alias("backup_status"),
+        failure.alias("exception"),
         F.col("head_version").alias("table_version"),
         F.col("head_version").alias("backup_version"),
         (none if source_info is None else source_info).alias("source_info"),

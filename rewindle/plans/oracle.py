@@ -219,6 +219,17 @@ ORACLE = {
         UNION ALL BY NAME SELECT {LOAN_COLUMNS} FROM {LOANS}""",
     "dedupe_columns": "SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem",
     "materialized_view": f"SELECT * FROM {CONTRACTS}",
+    "view_over_stream": f"""SELECT event_type, __END_AT IS NULL AS is_open, count(*) AS rows,
+        CAST(sum(CAST(value AS DECIMAL(20,2))) AS DECIMAL(38,2)) AS value FROM ({HISTORY}) GROUP BY 1, 2""",
+    "view_of_changes": f"""SELECT event_type, count(*) AS rows,
+        CAST(sum(CAST(value AS DECIMAL(20,2))) AS DECIMAL(38,2)) AS value,
+        CAST(sum(event_id) AS DECIMAL(38,0)) AS event_id FROM {_state(31)} GROUP BY 1""",
+    "stream_distinct": "SELECT DISTINCT o_custkey FROM orders",
+    "backup_run": f"""SELECT 's' AS table_schema, 'users' AS table_name, 'success' AS backup_status,
+            NULL::VARCHAR AS exception, (SELECT max(day(ts)) FROM events) AS table_version,
+            count(*) AS rows, sum(event_id)::BIGINT AS total, 1::BIGINT AS sources FROM {_state(31)}
+        UNION ALL SELECT 's', 'orders', 'success', NULL, 4, count(*), sum(o_orderkey)::BIGINT, NULL FROM orders
+        UNION ALL SELECT 's', 'missing', 'failed', 'table not found', NULL, NULL, NULL, NULL""",
     "surrogate_key": """SELECT c_custkey, md5(concat_ws('', 'AFS', 'AF',
         lpad(CAST(c_custkey AS VARCHAR), 9, '0'))) AS ar_id FROM customer""",
     "silver_transform": f"""SELECT {_FINAL}, CONTRACT_ID FROM (SELECT {_CONTRACT},

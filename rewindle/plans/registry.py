@@ -19,6 +19,7 @@ from rewindle.operators.scd2 import START, scd2
 from rewindle.operators.skew import NONE_HEAVY
 from rewindle.plans import samples as S
 from rewindle.plans import consistency as B
+from rewindle.plans import recovery as Y
 from rewindle.plans.cleaning import FINAL_KEYS, final_rows
 from rewindle.plans.medallion import Medallion
 from rewindle.session import work_dir
@@ -28,7 +29,8 @@ from rewindle.sources.changelog import ChangeLog, read_clone
 from rewindle.sources.changelog import clone_table as _clone
 from rewindle.streaming.feed import Feed
 from rewindle.streaming.history import HistoryTable, await_all
-from rewindle.streaming.upsert import append_stream, upsert_stream
+from rewindle.streaming.upsert import append_stream, distinct_stream, upsert_stream
+from rewindle.streaming.view import GroupedView
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -450,6 +452,18 @@ def stream_resume(spark, sf):
     return spark.read.parquet(f"{path}/out").drop("processed_time")
 
 
+@query
+def stream_distinct(spark, sf):
+    """Customers with orders, each sent on once, though orders arrive in three runs of a stream."""
+    path = work_dir(spark, "distinct")
+    orders = S.table(spark, sf, "orders")
+    for part in range(3):
+        orders.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(3)) == part).write.mode("append").parquet(f"{path}/in")
+        source = I.stream_parquet(spark, f"{path}/in", orders.schema).select("o_custkey")
+        await_all([append_stream(distinct_stream(source, ["o_custkey"]), f"{path}/out", f"{path}/checkpoint")])
+    return spark.read.parquet(f"{path}/out").drop("processed_time")
+
+
 @query
 def append_flows(spark, sf):
     return M.append_flows(
@@ -475,6 +489,39 @@ def materialized_view(spark, sf):
     return view.drop(I.INGEST_TIME)
 
 
+@query
+def view_over_stream(spark, sf):
+    """Versions of users by kind of event, kept up to date while a stream rewrites the history they come from."""
+    history = _user_history(spark, sf, "view")
+    events = S.table(spark, sf, "events")
+    shown = lambda rows: V.drop_system(rows).select(
+        "event_type", F.col("__END_AT").isNull().alias("is_open"), F.col("value").cast("decimal(20,2)").alias("value")
+    )
+    groups = ("event_type", "is_open")
+    view = GroupedView(history.history, tuple(history.row_keys), groups, ("value",), f"{history.path}/view", rows_of=shown)
+    view.create(spark)
+    early = F.col("event_id") % 3 == 0  # late events part versions that the view has counted
+    for arrived in (events.where(early), events.where(~early)):
+        arrived.write.mode("append").parquet(f"{history.path}/arrivals")
+        source = I.stream_parquet(spark, f"{history.path}/arrivals", events.schema)
+        await_all([history.follow(source, f"{history.path}/checkpoint")])
+        view.refresh(spark)
+    return view.read(spark)
+
+
+@query
+def view_of_changes(spark, sf):
+    """Users by kind of event, refreshed four times while users come, change and go."""
+    events = S.table(spark, sf, "events").withColumn("value", F.col("value").cast("decimal(20,2)"))
+    log = ChangeLog(work_dir(spark, "view-log"), events.schema).create(spark)
+    timed = S.event_log(events).withColumn(V.TIME, F.col("ts").cast("timestamp"))
+    view = GroupedView(log, tuple(USER), ("event_type",), ("value", "event_id"), f"{log.path}-view", tuple(TIE)).create(spark)
+    for first, last in ((0, 8), (9, 16), (17, 24), (25, 31)):
+        log.load(timed.where(F.col(V.VERSION).between(first, last)))
+        view.refresh(spark)
+    return view.read(spark)
+
+
 @query
 def surrogate_key(spark, sf):
     customer = S.table(spark, sf, "customer")
@@ -535,6 +582,38 @@ def backup_audit(spark, sf):
     return spark.read.parquet(path).drop("source_info", "table_info")
 
 
+@query
+def backup_run(spark, sf):
+    """All tables that are due, copied as of one moment: the audit rows with what they record, and what the clones hold."""
+    path = work_dir(spark, "backup-run")
+    events, orders, customer = (S.table(spark, sf, t) for t in ("events", "orders", "customer"))
+    logs = {"users": _stored_log(spark, sf)}
+    for name, rows in (("orders", orders), ("customers", customer)):
+        logs[name] = ChangeLog(f"{path}/{name}", rows.schema).create(spark)
+        logs[name].append(rows, 4)
+    logs["missing"] = ChangeLog(f"{path}/nowhere", orders.schema)
+    await_all([append_stream(S.stream(spark, sf, "events"), f"{path}/filled", f"{path}/checkpoints/users")])
+    keys = {"users": ("user_id",), "orders": ("o_orderkey",), "customers": ("c_custkey",), "missing": ("o_orderkey",)}
+    tables = [
+        Y.ManagedTable("s", n, log, keys[n], f"{path}/clones/{n}", tuple(TIE) if n == "users" else ()) for n, log in logs.items()
+    ]
+    # Users were backed up before their last changes, customers since.
+    past = [("users", "success", 12), ("customers", "success", 4), ("orders", "failed", 4)]
+    before = spark.createDataFrame(past, "table_name string, backup_status string, table_version bigint")
+    empty = spark.createDataFrame([], A.AUDIT)
+    I.append_table(empty.unionByName(before.withColumn("table_schema", F.lit("s")), allowMissingColumns=True), f"{path}/audit")
+    audit = Y.run_backup(spark, tables, f"{path}/audit", "run", checkpoints={"users": f"{path}/checkpoints/users"})
+    held = None
+    for name, number in (("users", "event_id"), ("orders", "o_orderkey")):
+        version = logs[name].head(spark)
+        rows = read_clone(spark, f"{path}/clones/{name}", logs[name].business, version)
+        total = rows.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"), F.sum(number).alias("total"))
+        held = total if held is None else held.unionByName(total)
+    sources = D.flatten_sources(audit, "source_info").groupBy("table_name").agg(F.count("*").alias("sources"))
+    named = audit.select("table_schema", "table_name", "backup_status", "exception", "table_version")
+    return named.join(held, "table_name", "left").join(sources, "table_name", "left")
+
+
 def _requests(spark, sf):
     return D.parse_requests(S.requests(S.table(spark, sf, "events")), "payload")
 

@@ -32,6 +32,12 @@ def stream_parquet(
     return reader.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def csv_header_schema(spark: SparkSession, path: str) -> T.StructType:
     """Column names from the header, all as strings."""
     return spark.read.option("header", True).csv(path).schema

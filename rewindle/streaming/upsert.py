@@ -16,6 +16,12 @@ from rewindle.session import work_dir
 from rewindle.sources.files import with_time
 from rewindle.sources.keyindex import KeyIndex
 
+#: State that may outgrow memory.
+ROCKSDB = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
+
 
 def append_stream(
     source: DataFrame, path: str, checkpoint: str, time_column: str = "processed_time"
@@ -35,6 +41,19 @@ def append_stream(
     )
 
 
+def distinct_stream(source: DataFrame, columns: Sequence[str], time: str | None = None, keep: str | None = None) -> DataFrame:
+    """The first row of each combination of ``columns`` over the whole stream, whatever its batches and restarts.
+
+    What has been seen is keyed state in RocksDB, on the executors' disks and in the checkpoint. With ``time`` and ``keep``, a
+    repeat within ``keep`` of the event time it was seen at is never sent on; after a batch that moves the stream past that, the
+    combination is forgotten, which bounds the state. Without, it is kept for good. Null is a value like any other.
+    """
+    source.sparkSession.conf.set(*ROCKSDB)
+    if time is None:
+        return source.dropDuplicates(list(columns))
+    return source.withWatermark(time, keep).dropDuplicatesWithinWatermark(list(columns))
+
+
 def upsert_changes(log: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``rows`` as inserts and updates of the table behind ``log``.
 

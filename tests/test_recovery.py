@@ -6,8 +6,9 @@ from pyspark.sql import types as T
 
 from rewindle.operators import audit as A
 from rewindle.operators.versions import as_of, compact_log, version_range
+from rewindle.plans import recovery
 from rewindle.plans.recovery import ManagedTable, back_up, restore
-from rewindle.sources.changelog import ChangeLog, clone_versions
+from rewindle.sources.changelog import ChangeLog, clone_versions, read_clone
 from rewindle.sources.files import append_table, stream_parquet
 from rewindle.streaming.history import await_all
 from rewindle.streaming.upsert import append_stream
@@ -70,3 +71,36 @@ def test_back_up_lose_versions_and_restore(spark, folder, rows):
         assert rows(as_of(kept.log.read(spark), ["id"])) == STATES[version]
     with pytest.raises(ValueError, match="not available"):
         restore(spark, kept, *("unavailable", 9, None))
+
+
+def test_all_due_tables_are_copied_as_of_one_moment_and_failures_recorded(spark, folder, rows, monkeypatch):
+    append_table(spark.createDataFrame([], A.AUDIT), f"{folder}/audit")
+    tables = []
+    for name in ("a", "b", "c", "gone"):
+        log = ChangeLog(f"{folder}/{name}", BUSINESS)
+        if name != "gone":
+            log.create(spark).append(spark.createDataFrame([(1, name)], BUSINESS), 0)
+        tables.append(ManagedTable("shop", name, log, ("id",), f"{folder}/clones/{name}"))
+    append_table(spark.range(2), f"{folder}/in")
+    stream = stream_parquet(spark, f"{folder}/in", spark.range(1).schema)
+    await_all([append_stream(stream, f"{folder}/out/{n}", f"{folder}/cp/{n}") for n in "12"])
+    copied = recovery.clone_table
+
+    def clone(snapshot, path, version):
+        if path.endswith("/b"):
+            raise OSError("disk full")
+        tables[0].log.append(spark.createDataFrame([(2, "later")], BUSINESS), 1)  # while the copies run
+        copied(snapshot, path, version)
+
+    monkeypatch.setattr(recovery, "clone_table", clone)
+    run = recovery.run_backup(spark, tables, f"{folder}/audit", "one", checkpoints={"a": f"{folder}/cp/*"})
+    assert rows(run, "table_name", "backup_status", "exception", "table_version") == [
+        ("a", "success", None, 0), ("b", "failed", "disk full", 0), ("c", "success", None, 0), ("gone", "failed", "table not found", None),
+    ]
+    assert rows(read_clone(spark, f"{folder}/clones/a", BUSINESS, 0)) == [(1, "a")]
+    document = json.loads(run.where("table_name = 'a'").first().source_info)
+    assert [(f["cp_path"][-1], f["sources"]) for f in document["files"]] == [("1", [{"version": "0"}]), ("2", [{"version": "0"}])]
+    monkeypatch.setattr(recovery, "clone_table", copied)
+    again = recovery.run_backup(spark, tables, f"{folder}/audit", "two")
+    assert rows(again, "table_name", "backup_status", "table_version") == [("a", "success", 1), ("b", "success", 0), ("gone", "failed", None)]
+    assert rows(read_clone(spark, f"{folder}/clones/a", BUSINESS, 1)) == [(1, "a"), (2, "later")]
