@@ -2,18 +2,17 @@
 
 The grammar. A turn is ``<s>[INST] text [/INST]`` for a user, ``<s>[ASST] text </s>`` for an assistant,
 ``<s>[SYS] text [/SYS]`` for a system turn and ``<s>[TURN role] text [/TURN]`` for any other role. A text that
-would not come back as it is stands in a turn whose opening mark ends in ``+]``; there a backslash is written
-before each backslash and each control string. A plain turn is read up to the first closing mark,
-an escaped one up to the first closing mark that no backslash precedes, and text
-between the turns is an error. So the parser needs no knowledge of the source.
+holds a control string (a mark, or the start of one) is escaped: its turn's opening mark ends in ``+]``, a backslash is put after the
+first character of each control string and each backslash is doubled. So no control string of a text stands in the
+output, for a tokenizer to take for a mark, and a turn ends at the first closing mark. Text
+between the turns is an error. The parser needs no knowledge of the source.
 
-A turn is written plain, parsed, and compared with its source; only if role or text differ, or the turn
-does not end where it should, is it written escaped, and compared again. The loss mask covers what an
-assistant turn shows between its marks.
+A turn is parsed as it is written, and compared with its source: if role, text or end differ, it is written
+escaped and compared again. The loss mask covers what an assistant turn shows between its marks.
 
 Turns are ordered by ``turn``, nulls first, ties by the formatted text. Null texts are empty, a null role is the
 empty role, rows without a conversation form one of their own, repeated rows are repeated turns. A table
-without rows gives none. A conversation is never held whole: its turns are sorted by Spark and
+without rows gives none. Columns other than the four named are not read. A conversation is never held whole: its turns are sorted by Spark and
 pass through the reader one after another, since SHA-256 needs them in order.
 """
 
@@ -34,8 +33,8 @@ from rewindle.llm.common import ready
 MARKS = {"user": ("INST", "[/INST]"), "assistant": ("ASST", "</s>"), "system": ("SYS", "[/SYS]")}
 CLOSING = {mark: (role, close) for role, (mark, close) in MARKS.items()}
 _OPEN = re.compile(r"<s>\[(INST|ASST|SYS|TURN(?: [^\]+]*)?)(\+?)\] ")
-_CONTROL = re.compile(r"\\|<s>|</s>|\[/?(?:INST|ASST|SYS|TURN)")
-_ESCAPED = re.compile(r"\\(\\|<s>|</s>|\[/?(?:INST|ASST|SYS|TURN))")
+_CONTROL = re.compile(r"</?s>|\[/?(?:INST|ASST|SYS|TURN)")
+_ESCAPED = re.compile(r"(<)\\(?=/?s>)|(\[)\\(?=/?(?:INST|ASST|SYS|TURN))|(\\)\\")
 
 
 def _named(role: str) -> str:
@@ -50,7 +49,7 @@ def _role(name: str) -> str:
 def render(role: str, text: str, escaped: bool = False) -> str:
     """One turn by the grammar, whether or not it can be read back."""
     mark, close = MARKS.get(role) or (f"TURN {_named(role)}", "[/TURN]")
-    body = _CONTROL.sub(lambda m: "\\" + m[0], text) if escaped else text
+    body = _CONTROL.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text.replace("\\", "\\\\")) if escaped else text
     return f"<s>[{mark}{'+' * escaped}] {body} {close}"
 
 
@@ -68,22 +67,18 @@ def parse_turn(text: str, at: int = 0) -> Turn:
         raise ValueError(f"no turn at {at}")
     role, close = CLOSING.get(opened[1]) or (_role(opened[1][5:]), "[/TURN]")
     start = opened.end()
-    if not opened[2]:
-        end = text.find(" " + close, start)
-        if end < 0:
-            raise ValueError(f"the turn at {at} has no end")
-        return Turn(role, text[start:end], end + 1 + len(close))
-    # every backslash of an escaped text starts a pair, so a mark outside all pairs is a true one
-    mark = re.compile(r"(?s)\\.| " + re.escape(close))
-    for found in mark.finditer(text, start):
-        if found[0][0] != "\\":
-            return Turn(role, _ESCAPED.sub(r"\1", text[start : found.start()]), found.end())
-    raise ValueError(f"the turn at {at} has no end")
+    end = text.find(" " + close, start)
+    if end < 0:
+        raise ValueError(f"the turn at {at} has no end")
+    body = text[start:end]
+    if opened[2]:
+        body = _ESCAPED.sub(lambda m: m[1] or m[2] or m[3], body)
+    return Turn(role, body, end + 1 + len(close))
 
 
 def turn_text(role: str, text: str) -> str:
-    """A turn that reads back as it was, followed by anything; plain where that suffices."""
-    for escaped in (False, True):
+    """A turn that reads back as it was, followed by anything; plain where it holds no control string and that suffices."""
+    for escaped in (True,) if _CONTROL.search(text) else (False, True):
         shown = render(role, text, escaped)
         try:
             back = parse_turn(shown)
