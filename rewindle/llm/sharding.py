@@ -2,20 +2,23 @@
 
 Rows with equal texts form a group. Groups are ordered by the SHA-256 of their text, and shards are
 consecutive stretches of that order. The capacity of a shard is the smallest for which a greedy
-filling needs no more shards than asked; it is found by binary search, and the cuts are those of the
-greedy filling at that capacity.
+filling needs no more shards than asked; it is found by binary search. Within it shards are kept near
+equal: a cut is made near each shard's share of what is left, where the rest still fits. Only where groups are
+fewer than shards do shards stay empty.
 
 The driver holds one row for each block of the order (at most 65,536 blocks, set by the leading bits
 of the hash). A step of the greedy filling looks only into the block where it ends: a small block's
 boundaries come to the driver, a large block is searched by a Spark job that returns one boundary.
 
 Nulls: a null text counts as empty; a null id is kept. Equal rows are placed one by one. A table
-without rows gives none. A group larger than a fair share gets a shard that is as large.
+without rows gives none. A group larger than a fair share gets a shard that is as large. Texts
+are read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -72,6 +75,26 @@ class Order:
                 out.append((self.starts[k] + found[0], self.row_starts[k] + found[1]))
         return out
 
+    def at_or_after(self, places: list[int]) -> list[tuple[int, int]]:
+        """For each place in bytes, the first boundary not before it: the end of the group that holds the byte before."""
+        before = self.at_or_before([max(p, 0) for p in places])
+        return [b if b[0] >= p else self._end_of(b[0]) for b, p in zip(before, places, strict=True)]
+
+    def _end_of(self, start: int) -> tuple[int, int]:
+        """The end of the group that begins at a place."""
+        k = bisect_right(self.starts, start) - 1
+        begins = start - self.starts[k]
+        if k in self.held:
+            own_bytes, own_rows = self.held[k]
+            j = bisect_right(own_bytes, begins)
+            if j < len(own_bytes):
+                return self.starts[k] + own_bytes[j], self.row_starts[k] + own_rows[j]
+        else:
+            there = self.groups.where((F.col("block") == self.blocks[k]) & (F.col("before_bytes") == begins))
+            end = there.select(F.max(F.col("before_bytes") + F.col("bytes")), F.max(F.col("before_rows") + F.col("rows"))).first()
+            return self.starts[k] + end[0], self.row_starts[k] + end[1]
+        return self.starts[k + 1], self.row_starts[k + 1]
+
     def _searched(self, asked: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
         if not asked:
             return {}
@@ -91,8 +114,32 @@ class Order:
                 ends[i].append(end)
         return ends
 
+    def aim(self, at: int, shards: int) -> int:
+        """Where the next of ``shards`` shards would best end: those that no group fills alone share the rest evenly."""
+        ahead = [(start, size) for start, size in self.large if start >= at]
+        level, alone = (self.total - at) / shards, []
+        while True:
+            alone = [(start, size) for start, size in ahead if size > level]
+            if len(alone) >= shards:
+                break
+            rest = (self.total - at - sum(size for _, size in alone)) / (shards - len(alone))
+            if rest >= level:
+                break
+            level = rest
+        if not alone:
+            return at + ceil(level)
+        start, size = alone[0]
+        if start == at:
+            return at + size
+        # The stretch up to the next such group goes to whole shards.
+        return at + ceil((start - at) / max(1, round((start - at) / max(level, 1))))
+
     def cuts(self, shards: int) -> list[tuple[int, int]]:
-        """The inner ends of the shards at the smallest capacity that suffices."""
+        """The inner ends of the shards, none of which passes the smallest capacity that suffices.
+
+        Within that capacity shards are kept near equal: each ends at the boundary nearest to its aim, but not
+        before the place from where the rest still fits.
+        """
         if not self.blocks:
             return []
         share = -(-self.total // shards)
@@ -102,7 +149,23 @@ class Order:
             enough = [e[-1][0] == self.total for e in self.filled(tried, shards)]
             first = enough.index(True) if True in enough else len(tried)
             low, high = (tried[first - 1] + 1 if first else low), (tried[first] if first < len(tried) else high)
-        return self.filled([low], shards)[0][:-1]
+        # Groups of more than a quarter of a fair share: at most four a shard.
+        wide = self.groups.where(F.col("bytes") > share // 4).select("block", "before_bytes", "bytes").collect()
+        base = dict(zip(self.blocks, self.starts, strict=False))
+        self.large = sorted((base[r["block"]] + r["before_bytes"], r["bytes"]) for r in wide)
+        # From the end back: where the last shards, filled up, begin.
+        latest = [self.total]
+        for _ in range(shards - 1):
+            latest.append(self.at_or_after([latest[-1] - low])[0][0])
+        ends, at = [], 0
+        for k in range(1, shards):
+            aim = self.aim(at, shards - k + 1)
+            (before,), (after,) = self.at_or_before([aim]), self.at_or_after([aim])
+            fits = [e for e in (before, after) if at < e[0] <= at + low and e[0] >= latest[shards - k]]
+            fits = fits or self.at_or_after([max(min(at + 1, self.total), latest[shards - k])])
+            ends.append(min(fits, key=lambda e: abs(e[0] - aim)))
+            at = ends[-1][0]
+        return ends
 
 
 def sharded(df: DataFrame, shards: int, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rewindle.llm import merkle, negatives, order, urls
+from rewindle.llm import chat, merkle, negatives, order, sharding, urls
 
 
 def brute_negatives(rows, anchor, rules):
@@ -252,3 +252,46 @@ def test_places_in_a_hot_group(spark):
     for g in (None, "hot"):
         own = sorted((r.x, r.pos, r.n) for r in got if r.g == g)
         assert [p for _, p, _ in own] == list(range(len(own))) and {n for *_, n in own} == {len(own)}
+
+
+def test_no_control_string_of_a_text_stands_in_the_output():
+    pick = random.Random(9)
+    parts = ["a", "\\", "<", "/", "s>", "<s>", "</s>", "[INST]", "[/INST", "[TURN", "[/SYS]", " ", "\n", "[", "]", "ASST"]
+    for _ in range(20_000):
+        text, role = "".join(pick.choice(parts) for _ in range(pick.randrange(9))), pick.choice(["user", "assistant", "system", "tool", "</s>", "[INST]"])
+        shown = chat.turn_text(role, text)
+        body = shown[shown.index("] ") + 2 : shown.rindex(" ")]
+        assert not chat._CONTROL.search(body)
+        back = chat.parse_turn(shown + chat.render("user", "x"))
+        assert (back.role, back.text, back.end) == (role, text, len(shown))
+    assert "+" not in chat.turn_text("user", "a plain \\ text [ with ] marks < of its own >")
+
+
+@pytest.mark.parametrize("fetch", [20_000, 0])
+def test_shards_stay_near_equal_beside_a_large_group(spark, monkeypatch, fetch):
+    monkeypatch.setattr(sharding, "FETCH", fetch)
+    pick = random.Random(1)
+    texts = ["copied " * 60] * 300 + ["t" * pick.randrange(100, 300) + str(i) for i in range(1200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.sharded(df, 16 if fetch else 5).collect()
+    by = {}
+    for r in got:
+        by[r["shard"]] = by.get(r["shard"], 0) + r["size"]
+    large = 300 * (len(texts[0]) + 1)
+    rest = sum(len(t) + 1 for t in texts) - large
+    if fetch:
+        # The large group has a shard of its own, or nearly; the others share the rest.
+        assert max(by.values()) == large and len(by) == 16
+        others = sorted(by.values())[:-1]
+        assert others[-1] < 1.35 * rest / 15 and others[0] > 0.65 * rest / 15
+    else:
+        assert len(by) == 5 and max(by.values()) >= large
+
+
+def test_fewer_groups_than_shards(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)], "doc_id long, text string")
+    got = sharding.sharded(df, 8).collect()
+    homes = {}
+    for r in got:
+        homes.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert len(got) == 30 and all(len(x) == 1 for x in homes.values()) and len(set.union(*homes.values())) == 3
