@@ -78,12 +78,25 @@ FINAL = f"""WITH f AS (SELECT {_FINAL}, __START_AT FROM {STAGING}),
 
 TABLE = "'s' || (user_id % 7) AS table_schema, 't' || user_id AS table_name"
 
+def _file(number: int) -> str:
+    """One file of an event's source document."""
+    sources = [
+        f"{{'table': 's' || (user_id % 7) || '.{n}', table_id: md5(user_id || '{n}'), version: CAST(day(ts) AS VARCHAR)}}"
+        for n in ("employee", "employee_phone")
+    ]
+    return f"""{{commit: CAST(day(ts) AS VARCHAR), file_name: 'file_{number}.sql',
+        cp_path: '/checkpoints/u' || user_id || '/{number}', incr_type: 'multi', sources: [{", ".join(sources)}]}}"""
+
+
 AUDIT = f"""(SELECT 'silver' AS layer, {TABLE},
     CASE WHEN event_type IN ('purchase', 'view', 'click') THEN 'success' ELSE 'failed' END
         AS backup_status,
     CASE WHEN event_type NOT IN ('purchase', 'view', 'click') THEN event_type END AS exception,
     CAST(day(ts) AS BIGINT) AS table_version, event_id AS backup_version,
-    ts AS backup_timestamp, 'job_' || event_id AS job_id, user_id FROM events)"""
+    ts AS backup_timestamp, 'job_' || event_id AS job_id, user_id,
+    CAST(to_json({{source_type: 'delta', files: [{_file(1)}, {_file(2)}]}}) AS VARCHAR) AS source_info,
+    CAST(to_json({{table_format: 'delta', batch: CASE WHEN user_id % 5 = 0 THEN 'true' ELSE 'false' END}}) AS VARCHAR)
+        AS table_info FROM events)"""
 
 DUE = f"""(SELECT h.table_schema, h.table_name, h.head_version,
     coalesce(b.v, -1) AS backed_up_version,
@@ -103,7 +116,7 @@ PRIMARY = f"""(SELECT {TABLE}, max(day(ts)) - 9 AS base_version, max(day(ts)) AS
 BACKUP = f"""(SELECT {TABLE}, min(CASE WHEN event_type = 'purchase' THEN event_id END)
     AS base_version, max(event_id) AS head_version FROM events GROUP BY user_id)"""
 
-PLAN = f"""(SELECT r.*, a.backup_version,
+PLAN = f"""(SELECT r.*, a.backup_version, a.source_info, a.table_info,
     CASE WHEN r.version BETWEEN p.base_version AND p.head_version THEN 'time_travel'
          WHEN a.backup_version BETWEEN b.base_version AND b.head_version THEN 'backup'
          ELSE 'unavailable' END AS mode
@@ -193,6 +206,18 @@ ORACLE = {
     "clone_table": f"SELECT * FROM {_state(31)}",
     "clone_as_of": f"SELECT * FROM {_state(10)}",
     "restore_version": f"SELECT * FROM {_state(10)}",
+    "overwrite_schema": f"""WITH a AS (SELECT {EVENT}, 0 AS version FROM {_state(10)}),
+        b AS (SELECT user_id, event_id, event_type AS kind, CAST(value AS DECIMAL(12,2)) AS value,
+            CAST(day(ts) AS INTEGER) AS day, 1 AS version FROM {_state(20)})
+        SELECT * REPLACE (CAST(value AS DECIMAL(12,2)) AS value) FROM a
+        UNION ALL BY NAME FROM b UNION ALL BY NAME SELECT * EXCLUDE (day) REPLACE (2 AS version) FROM b""",
+    "catalog_kind": """SELECT 'plain' AS name, 'EXTERNAL' AS table_type, 'delta' AS kind,
+            NULL::VARCHAR AS pipeline_id, count(*) AS rows FROM part
+        UNION ALL SELECT 'kept', 'EXTERNAL', 'dlt', 'a_1', count(*) FROM supplier
+        UNION ALL SELECT 'seen', 'VIEW', 'delta', NULL, count(*) FROM part WHERE p_size > 10""",
+    "stream_checkpoints": """SELECT 'orders' AS stream, 0::BIGINT AS source_no, 1::BIGINT AS position,
+            2::BIGINT AS files, 2::BIGINT AS batches, 'dedupe' AS operator, count(DISTINCT o_custkey) AS keys FROM orders
+        UNION ALL SELECT 'events', 0, 1, 2, 2, NULL, NULL""",
     "table_diff": f"""WITH o AS (SELECT user_id, event_type FROM {_state(10)}),
         n AS (SELECT user_id, event_type FROM {_state(20)})
         SELECT *, 'left' AS side FROM (SELECT * FROM o EXCEPT SELECT * FROM n)

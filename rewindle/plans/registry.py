@@ -27,6 +27,7 @@ from rewindle.sources import checkpoints as P
 from rewindle.sources import files as I
 from rewindle.sources.changelog import ChangeLog, read_clone
 from rewindle.sources.changelog import clone_table as _clone
+from rewindle.sources.evolving import EvolvingTable
 from rewindle.streaming.feed import Feed
 from rewindle.streaming.history import HistoryTable, await_all
 from rewindle.streaming.upsert import append_stream, distinct_stream, upsert_stream
@@ -282,6 +283,22 @@ def restore_version(spark, sf):
     return V.as_of(log.read(spark), USER, None, TIE)
 
 
+@query
+def overwrite_schema(spark, sf):
+    """Users overwritten with a renamed, a dropped, a retyped and a new column, and read as of each version."""
+    log = _log(spark, sf)
+    table = EvolvingTable(work_dir(spark, "evolving"), tuple(USER))
+    first = V.as_of(log, USER, 10, TIE)
+    table.replace(spark, first)
+    second = V.as_of(log, USER, 20, TIE).select(
+        "user_id", "event_id", F.col("event_type").alias("kind"), F.col("value").cast("decimal(12,2)").alias("value"), F.dayofmonth("ts").alias("day")
+    )
+    table.replace(spark, second, {"kind": "event_type"})
+    table.replace(spark, second.drop("day"))
+    shown = lambda v: table.read(spark, v).withColumn("version", F.lit(v)).withColumn("value", F.col("value").cast("decimal(12,2)"))
+    return shown(0).unionByName(shown(1), True).unionByName(shown(2), True)
+
+
 @query
 def table_diff(spark, sf):
     log = _log(spark, sf)
@@ -555,6 +572,34 @@ def table_kind(spark, sf):
     )
 
 
+@query
+def catalog_kind(spark, sf):
+    """Tables and a view in the session's catalog: what it says they are, whether a pipeline keeps them, and their rows."""
+    path = work_dir(spark, "catalog")
+    tag = path.rsplit("-", 1)[1][:12]
+    kept = {"plain": "'team' = 'x'", "kept": "'team' = 'x', 'pipelines.pipelineId' = 'a-1'"}
+    names = {n: f"{n}_{tag}" for n in (*kept, "seen")}
+    try:
+        for name, properties in kept.items():
+            source = "part" if name == "plain" else "supplier"
+            S.table(spark, sf, source).write.parquet(f"{path}/{name}")
+            spark.sql(f"CREATE TABLE {names[name]} USING parquet LOCATION '{path}/{name}' TBLPROPERTIES ({properties})")
+        spark.sql(f"CREATE VIEW {names['seen']} AS SELECT * FROM {names['plain']} WHERE p_size > 10")
+        found = I.catalog_tables(spark, list(names.values()))
+        counts = [spark.table(full).agg(F.lit(full).alias("table_name"), F.count("*").alias("rows")) for full in names.values()]
+        held = counts[0].unionByName(counts[1]).unionByName(counts[2])
+        said = found.join(held, "table_name").select(
+            F.regexp_extract("table_name", "^([a-z]+)", 1).alias("name"), "table_type", C.table_kind(F.col("properties")).alias("kind"),
+            C.pipeline_id(F.col("properties")).alias("pipeline_id"), "rows",
+        )
+        said.write.parquet(f"{path}/said")  # read before the tables leave the catalog
+    finally:
+        spark.sql(f"DROP VIEW IF EXISTS {names['seen']}")
+        for name in kept:
+            spark.sql(f"DROP TABLE IF EXISTS {names[name]}")
+    return spark.read.parquet(f"{path}/said")
+
+
 # Audit, backup, restore
 
 
@@ -579,7 +624,7 @@ def backup_audit(spark, sf):
     at = F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00"))
     due = A.backup_due(S.heads(events), audit)
     I.append_table(A.backup_rows(due, "silver", "job_run", at), path)
-    return spark.read.parquet(path).drop("source_info", "table_info")
+    return spark.read.parquet(path)
 
 
 @query
@@ -627,7 +672,7 @@ def _plan(spark, sf):
 
 @query
 def restore_plan(spark, sf):
-    return _plan(spark, sf).drop("source_info", "table_info")
+    return _plan(spark, sf)
 
 
 @query
@@ -680,6 +725,29 @@ def checkpoint_progress(spark, sf):
     )
 
 
+@query
+def stream_checkpoints(spark, sf):
+    """What two streams' own checkpoints say after two runs: batches, positions, files taken in, and the keys in state."""
+    path = work_dir(spark, "progress")
+    rows = {"orders": S.table(spark, sf, "orders").select("o_custkey"), "events": S.table(spark, sf, "events").select("user_id")}
+    for part in range(2):
+        for name, table in rows.items():
+            own = F.pmod(F.xxhash64(*table.columns), F.lit(2)) == part
+            table.where(own).coalesce(1).write.mode("append").parquet(f"{path}/in/{name}")
+            source = I.stream_parquet(spark, f"{path}/in/{name}", table.schema)
+            source = distinct_stream(source, table.columns) if name == "orders" else source
+            await_all([append_stream(source, f"{path}/out/{name}", f"{path}/checkpoints/{name}")])
+    folders = f"{path}/checkpoints/*"
+    name = F.regexp_extract("cp_path", r"([^/]+)$", 1).alias("stream")
+    progress = R.checkpoint_progress(P.read_offsets(spark, folders), P.list_batches(spark, folders)).select(name, "source_no", "position")
+    state = P.state_sizes(spark, [f"{path}/checkpoints/{n}" for n in rows]).select(name, "operator", "keys")
+    files = [
+        P.ingested_files(spark, f"{path}/checkpoints/{n}").agg(F.lit(n).alias("stream"), F.count("*").alias("files"), F.countDistinct("batchId").alias("batches"))
+        for n in rows
+    ]
+    return progress.join(files[0].unionByName(files[1]), "stream").join(state, "stream", "left")
+
+
 @query
 def source_progress(spark, sf):
     return R.source_progress(S.offset_lines(S.table(spark, sf, "events")))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rewindle.sources.files import path_exists
+
 _BATCH_FILE = r"^(.*)/(commits|offsets)/(\d+)$"
 
 
@@ -56,3 +60,20 @@ def ingested_files(spark: SparkSession, checkpoints: str) -> DataFrame:
     )
     # A compacted file repeats the entries of those before it.
     return lines.select("f.*").distinct()
+
+
+def state_sizes(spark: SparkSession, checkpoints: Sequence[str]) -> DataFrame:
+    """``cp_path, operator_id, operator, batch_id, keys`` of the state that each checkpoint's stateful operators keep.
+
+    One row an operator, from Spark's own readers of state; a checkpoint without state gives none. ``batch_id`` is the batch after which the state stood so.
+    """
+    found = spark.createDataFrame([], "cp_path string, operator_id bigint, operator string, batch_id bigint, keys bigint")
+    for path in checkpoints:
+        if not path_exists(spark, f"{path}/state"):
+            continue
+        about = spark.read.format("state-metadata").load(path)
+        for op in about.select("operatorId", "operatorName", "maxBatchId").distinct().collect():
+            state = spark.read.format("statestore").option("operatorId", op.operatorId).load(path)
+            said = [F.lit(path).alias("cp_path"), F.lit(op.operatorId).cast("bigint").alias("operator_id"), F.lit(op.operatorName).alias("operator")]
+            found = found.unionByName(state.agg(F.count("*").alias("keys")).select(*said, F.lit(op.maxBatchId).cast("bigint").alias("batch_id"), "keys"))
+    return found

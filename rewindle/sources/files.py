@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,3 +90,16 @@ def table_type(spark: SparkSession, name: str) -> str | None:
         .first()
     )
     return row.data_type if row else None
+
+
+def catalog_tables(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """``table_name, table_type, properties`` of tables and views in the catalog, one row for each name.
+
+    What the catalog says of a table is a handful of short rows, looked up name by name.
+    """
+    found = []
+    for name in names:
+        kind = table_type(spark, name)
+        shown = spark.sql("SHOW TBLPROPERTIES IDENTIFIER(:name)", args={"name": name}).collect() if kind not in (None, "VIEW") else []
+        found.append((name, kind, {r.key: r.value for r in shown}))
+    return spark.createDataFrame(found, "table_name string, table_type string, properties map<string, string>")
