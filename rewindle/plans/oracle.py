@@ -167,6 +167,12 @@ ORACLE = {
             ORDER BY _commit_version DESC, event_id DESC) AS rn FROM {LOG}
             WHERE _commit_version <= 5) WHERE rn = 1 AND _change_type <> 'delete'
         UNION ALL SELECT * FROM {LOG} WHERE _commit_version > 5""",
+    "ingest_evolving": """WITH e AS (SELECT *, day(ts) AS d, CAST(value AS DECIMAL(12,2)) AS exact FROM events)
+        SELECT CASE WHEN d <= 20 OR event_type <> 'signup' THEN event_id END AS event_id, event_type,
+            CASE WHEN d <= 10 THEN CAST(CAST(floor(exact) AS BIGINT) AS VARCHAR)
+                 WHEN d > 20 AND event_type = 'error' THEN 'none' ELSE CAST(exact AS VARCHAR) END AS amount,
+            CASE WHEN d BETWEEN 11 AND 20 THEN props END AS props, CASE WHEN d > 20 THEN ts END AS ts,
+            CASE WHEN d > 20 AND event_type = 'signup' THEN 'x' || event_id END AS unfit_id, true AS stamped FROM e""",
     "change_feed_follow": f"""SELECT {EVENT}, 'insert' AS _change_type,
             CAST(5 AS BIGINT) AS _commit_version FROM {_state(5)}
         UNION ALL SELECT {EVENT}, _change_type, _commit_version FROM {LOG} WHERE _commit_version > 5""",

@@ -30,6 +30,7 @@ from rewindle.sources.changelog import clone_table as _clone
 from rewindle.sources.evolving import EvolvingTable
 from rewindle.streaming.feed import Feed
 from rewindle.streaming.history import HistoryTable, await_all
+from rewindle.streaming.ingest import RESCUED, EvolvingIngest
 from rewindle.streaming.upsert import append_stream, distinct_stream, upsert_stream
 from rewindle.streaming.view import GroupedView
 
@@ -205,6 +206,29 @@ def file_ingest(spark, sf):
     return history.current(spark)
 
 
+@query
+def ingest_evolving(spark, sf):
+    """Events as CSV whose amount turns from whole numbers to decimals to text, with a column that comes later and ids that do not fit."""
+    path = work_dir(spark, "evolving-ingest")
+    events, day = S.table(spark, sf, "events"), F.dayofmonth("ts")
+    exact = F.col("value").cast("decimal(12,2)")
+    signup = F.col("event_type") == "signup"
+    ingest = EvolvingIngest(f"{path}/table", f"{path}/landing", {"event_id": "bigint"})
+    parts = (
+        (day <= 10, ["event_id", "event_type", F.floor(exact).alias("amount")]),
+        (day.between(11, 20), ["event_id", "props", exact.alias("amount"), "event_type"]),
+        (day > 20, [F.when(signup, F.concat(F.lit("x"), "event_id")).otherwise(F.col("event_id").cast("string")).alias("event_id"),
+                    F.when(F.col("event_type") == "error", "none").otherwise(exact.cast("string")).alias("AMOUNT"), "event_type", "ts"]),
+    )
+    for own, columns in parts:
+        events.where(own).select(*columns).write.mode("append").option("header", True).option("timestampNTZFormat", I.NTZ_FORMAT).option("escape", '"').csv(ingest.landing)
+        await_all([ingest.follow(spark)])
+    rows = ingest.read(spark)
+    return rows.select(
+        "event_id", "event_type", "amount", "props", "ts", F.col(RESCUED)["event_id"].alias("unfit_id"), F.col(I.INGEST_TIME).isNotNull().alias("stamped")
+    )
+
+
 # Versions and change feeds
 
 
