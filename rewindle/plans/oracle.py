@@ -212,6 +212,7 @@ ORACLE = {
     "clone_table": f"SELECT * FROM {_state(31)}",
     "clone_as_of": f"SELECT * FROM {_state(10)}",
     "restore_version": f"SELECT * FROM {_state(10)}",
+    "restart_fenced": f"FROM {_state(31)}",
     "overwrite_schema": f"""WITH a AS (SELECT {EVENT}, 0 AS version FROM {_state(10)}),
         b AS (SELECT user_id, event_id, event_type AS kind, CAST(value AS DECIMAL(12,2)) AS value,
             CAST(day(ts) AS INTEGER) AS day, 1 AS version FROM {_state(20)})

@@ -29,6 +29,7 @@ from rewindle.sources.changelog import ChangeLog, read_clone
 from rewindle.sources.changelog import clone_table as _clone
 from rewindle.sources.evolving import EvolvingTable
 from rewindle.streaming.feed import Feed
+from rewindle.streaming.fenced import Fenced, FencedTable, restart
 from rewindle.streaming.history import HistoryTable, await_all
 from rewindle.streaming.ingest import RESCUED, EvolvingIngest
 from rewindle.streaming.upsert import append_stream, distinct_stream, upsert_stream
@@ -782,6 +783,33 @@ def restart_plan(spark, sf):
     return R.restart_plan(S.recorded_commits(S.table(spark, sf, "events")), _batches(spark, sf))
 
 
+@query
+def restart_fenced(spark, sf):
+    """Users kept by a stream, brought back to what a backup recorded, and kept by a new stream from there; the old one is fenced off."""
+    path = work_dir(spark, "fenced")
+    events = S.table(spark, sf, "events")
+    log = ChangeLog(f"{path}/source", events.schema).create(spark)
+    timed = S.event_log(events).withColumn(V.TIME, F.col("ts").cast("timestamp"))
+    table = FencedTable(ChangeLog(f"{path}/users", events.schema), tuple(USER), path).create(spark)
+    old, epoch = Feed(log, tuple(USER), f"{path}/old", tuple(TIE), after=-1), table.take_over(spark)
+    log.load(timed.where(F.col(V.VERSION) <= 8))
+    old.run(spark, table.follow(old, epoch, TIE))
+    version, position = table.log.head(spark), old.position(spark)
+    log.load(timed.where(F.col(V.VERSION).between(9, 20)))
+    old.run(spark, table.follow(old, epoch, TIE))
+    second, new = restart(spark, table, old, version, position, path)
+    log.load(timed.where(F.col(V.VERSION) > 20))
+    # What an old batch still writes after its check counts for nobody; a later batch is refused.
+    table.log.commit(spark, events, f"e{epoch}-late", 0)
+    try:
+        table.write(events, epoch, "late", 1)
+        raise AssertionError("the old writer was let through")
+    except Fenced:
+        pass
+    new.run(spark, table.follow(new, second, TIE), max_versions=8)
+    return table.current(spark)
+
+
 @query
 def ingested_files(spark, sf):
     """The files two streams over the tables took in, as their checkpoints list them, and their rows."""
