@@ -77,11 +77,73 @@ def test_host_stream_keeps_unique_runs(spark):
     assert html.extracted(df.limit(0)).count() == 0
 
 
+def test_the_article_is_the_outermost_region_with_most_text():
+    assert html.divided('<main><p>a long text</p><article class="card"><p>teaser</p></article></main>')[0] == "a long text\nteaser"
+    assert html.divided("<main><p>by line</p><article><p>the longer article</p></article></main>")[0] == "the longer article"
+    assert html.divided("<article><header><h1>Title</h1></header><p>text</p><footer>f</footer></article>")[0] == "Title\ntext"
+    assert html.divided('<article><header class="nav"><a>x</a></header><p>text</p></article><header>h</header>')[0] == "text"
+
+
+def plain_main_texts(pages, run):
+    """Every pair of different streams of a host compared, stretch by stretch."""
+    parts = {k: html.divided(h or "") for k, (_, _, h) in enumerate(pages)}
+    hosts = {k: (u or "").split("/")[2].lower() if "://" in (u or "") else "" for k, (_, u, _) in enumerate(pages)}
+    streams = {k: [t for _, b in others for t in b.split()] for k, (_, others) in parts.items()}
+    grams = {k: {tuple(s[i : i + run]) for i in range(len(s) - run + 1)} for k, s in streams.items()}
+    out = []
+    for k, (i, u, _) in enumerate(pages):
+        article, others = parts[k]
+        if article is None:
+            seen = set().union(*(grams[j] for j in parts if hosts[j] == hosts[k] and streams[j] != streams[k]))
+            flags = [False] * len(streams[k])
+            for a in range(len(streams[k]) - run + 1):
+                if tuple(streams[k][a : a + run]) in seen:
+                    flags[a : a + run] = [True] * run
+            kept, at = [], 0
+            for keep, block in others:
+                tokens = block.split()
+                left = [t for t, f in zip(tokens, flags[at : at + len(tokens)], strict=True) if not f]
+                at += len(tokens)
+                kept += [" ".join(left)] if keep and left else []
+            article = "\n".join(kept)
+        out.append((i, u, article))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_main_texts_equal_a_plain_version_for_any_layout(spark, parts):
+    pick = random.Random(2)
+    banner = [" ".join(f"b{j}w{i}" for i in range(40)) for j in range(3)]
+    pages = []
+    for i in range(120):
+        body = "".join(f"<p>{' '.join(pick.choice('abc') for _ in range(pick.randrange(1, 60)))}</p>" for _ in range(3))
+        shared = pick.choice(banner) if pick.random() < 0.2 else ""
+        page = f"<div>{shared}</div>{body}<footer>{pick.choice(banner)}</footer>"
+        pages.append((i, pick.choice(["http://A.example/x", "http://b.example/y", None]), f"<article>{page}</article>" if pick.random() < 0.2 else page))
+    pages += [pages[0], pages[1], (200, "http://b.example/", "<p>" + "very long " * 30_000 + "</p>"), (201, None, None), (None, "http://b.example/", "<p>no id</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"rid": F.lit(1), "at": F.lit("x"), "article": F.lit(2)}).repartition(parts)
+    assert Counter(map(tuple, html.extracted(df).collect())) == plain_main_texts(pages, html.RUN)
+
+
+def test_boilerplate_of_few_pages_of_a_large_host(spark):
+    notice = " ".join(f"n{i}" for i in range(30))
+    rows = spark.range(3000).select(
+        F.col("id").alias("page_id"),
+        F.concat(F.lit("http://hot.example/"), "id").alias("url"),
+        F.concat(F.lit("<p>"), F.lit("own "), F.col("id").cast("string"), F.lit("</p>"), F.when(F.col("id") % 75 == 0, f"<p>{notice}</p>").otherwise("")).alias("html"),
+    )
+    got = html.extracted(rows.repartition(16)).agg(F.count("*"), F.count_if(F.col("text") == F.concat(F.lit("own "), "page_id"))).first()
+    assert tuple(got) == (3000, 3000)
+
+
 def test_repeats_equal_a_plain_search():
     pick = random.Random(0)
     for _ in range(200):
         streams = [[pick.choice("ab") for _ in range(pick.randrange(25))] for _ in range(pick.randrange(5))]
-        for k, (own, got) in enumerate(zip(streams, html.repeated(streams, 5), strict=False)):
+        one, two, low, high = html.stretches(streams, 5)
+        several = {(a, b) for a, b, x, y in zip(one, two, low, high, strict=True) if x < y}
+        at = [[i for i, key in enumerate(zip(*html.starts(s, 5), strict=True)) if key in several] for s in streams]
+        for k, (own, got) in enumerate(zip(streams, [html.covered(len(s), a, 5) for s, a in zip(streams, at, strict=True)], strict=True)):
             want = [False] * len(own)
             others = {tuple(s[i : i + 5]) for j, s in enumerate(streams) if s != own and j != k for i in range(len(s) - 4)}
             for i in range(len(own) - 4):
