@@ -140,6 +140,8 @@ def manifest(df: DataFrame, group: str, order: Sequence[str], column: str = "lea
     """The manifest of rows that bring their leaf's digest in ``column``; all columns of ``df`` stay with the leaves."""
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own")
     rows = df.select(F.col(f"`{group}`").alias("group"), F.col(f"`{column}`").alias("digest"), own)
+    # Written first: finding the ranges reads the rows once more, and that should be digests, not the texts behind them.
+    rows = written(rows, "leaves")
     placed = ranked(rows, ["group"], [*[F.col(f"own.`{c}`") for c in order], F.col("digest")])
     first = placed.where("pos = 0").select("group", F.col("n").alias("leaves"))
     trees = written(ranked(first, [], ["group"]).select(F.col("pos").alias("tree"), "n", "leaves", "group"), "trees")
