@@ -3,13 +3,14 @@
 Patterns find emails, network addresses, card and phone numbers (``base_spans``). The tagger, a
 bidirectional LSTM with CRF transitions, learns from windows around such spans, some of them in spellings the
 patterns miss. A text is read in windows that overlap by half. Spans that touch an inner edge of their
-window are left to the next window. Of all windows' spans the best set without overlaps
-is chosen for the whole text at once, weighing length by the number of windows that found a span; those that
-look like their kind (``plausible``) and do not meet a pattern's span are added. Every kind
+window are put together with what the neighbouring windows hold of them. Of the spans that
+look like their kind (``plausible``) the best set without overlaps is chosen for the whole text at once, weighing length by the number
+of windows that found a span; those that do not meet a pattern's span are added. Every kind
 needs a digit or an at sign, so a window with neither holds no span and is not run.
 
-Training takes at most ``WINDOWS`` labelled windows of each of two sorts (with and without a span); that
-bound is the only one, all texts are read whole. Without any labelled window nothing is added.
+Training takes at most ``WINDOWS`` different labelled windows of each of two sorts (with a span, an equal share of each kind, and
+without), drawn from all texts by hash; that bound is the only one, all texts are read whole. Without any labelled window nothing is
+added. Other columns are not read by ``digests``; ``masked`` keeps them.
 
 Nulls: a null text counts as empty, a null id is kept. Equal rows get equal results. A table without
 rows gives none. Places are code points, ends exclusive.
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rewindle.llm.common import ready
 from rewindle.llm.tagger import Tagger, encoded, trained
@@ -117,21 +119,41 @@ def windows(text: str) -> list[int]:
     return [i * STRIDE for i in out]
 
 
-def _tagged(labels: np.ndarray, at: int, length: int, size: int) -> Iterator[Span]:
-    """The spans of one window's labels that do not touch its inner edges."""
+def _tagged(labels: np.ndarray, at: int, length: int, size: int) -> Iterator[tuple[Span, bool, bool]]:
+    """The spans of one window's labels, and whether each begins and ends for sure: not at an inner edge of the window."""
     row, i = labels[:length].tolist(), 0
     while i < length:
         if row[i] % 2:
             j = i + 1
             while j < length and row[j] == row[i] + 1:
                 j += 1
-            if (i > 0 or at == 0) and (j < WIDTH or at + j == size):
-                yield KINDS[row[i] // 2], at + i, at + j
+            yield (KINDS[row[i] // 2], at + i, at + j), i > 0 or at == 0, j < WIDTH or at + j == size
             i = j
         else:
             i += 1
 
 
+def joined(tagged: list[tuple[Span, bool, bool]]) -> list[Span]:
+    """Spans that one window holds whole, and those put together from the pieces that neighbouring windows hold.
+
+    Pieces of one kind that overlap are one span, however many windows it runs through, if its first piece begins and its last
+    one ends for sure.
+    """
+    out = [span for span, begins, ends in tagged if begins and ends]
+    held: dict[str, tuple[int, int, bool, bool]] = {}
+    for (kind, a, b), begins, ends in sorted(tagged, key=lambda t: t[0][1:]):
+        if begins and ends:
+            continue
+        start, end, begun, ended = held.get(kind, (0, -1, False, False))
+        if a < end:
+            held[kind] = (start, max(b, end), begun, ends if b >= end else ended)
+        else:
+            if begun and ended:
+                out.append((kind, start, end))
+            held[kind] = (a, b, begins, ends)
+    return out + [(kind, start, end) for kind, (start, end, begun, ended) in held.items() if begun and ended]
+
+
 def reconciled(found: list[Span]) -> list[Span]:
     """Of spans from all windows, the set without overlaps that weighs most."""
     votes = sorted(Counter(found).items(), key=lambda x: (x[0][2], x[0][1], x[0][0]))
@@ -153,7 +175,7 @@ def reconciled(found: list[Span]) -> list[Span]:
 def spans_of(texts: list[str], model: Tagger | None, batch: int = 512) -> list[tuple[list[Span], list[Span]]]:
     """For each whole text its base spans and all its spans."""
     base = [base_spans(t) for t in texts]
-    found: list[list[Span]] = [[] for _ in texts]
+    found: list[list[tuple[Span, bool, bool]]] = [[] for _ in texts]
     todo = [(k, at) for k, t in enumerate(texts) for at in windows(t)] if model else []
     for i in range(0, len(todo), batch):
         part = todo[i : i + batch]
@@ -163,7 +185,7 @@ def spans_of(texts: list[str], model: Tagger | None, batch: int = 512) -> list[t
     out = []
     for text, own, more in zip(texts, base, found, strict=True):
         if more:
-            more = [s for s in reconciled(more) if plausible(s[0], text, s[1], s[2])]
+            more = reconciled([s for s in joined(more) if plausible(s[0], text, s[1], s[2])])
             own_ends = sorted((a, b) for _, a, b in own)
             more = [s for s in more if not any(a < s[2] and s[1] < b for a, b in own_ends)]
         out.append((own, sorted(own + more, key=lambda s: (s[1], KINDS.index(s[0])))))
@@ -171,7 +193,11 @@ def spans_of(texts: list[str], model: Tagger | None, batch: int = 512) -> list[t
 
 
 def _labelled(df: DataFrame, spans: bool) -> list[tuple[str, list[Span]]]:
-    """At most ``WINDOWS`` windows with a span of the patterns, or with a digit or at sign but no span."""
+    """At most ``WINDOWS`` windows with a span of the patterns, or with a digit or at sign but no span.
+
+    They are drawn from all texts by hash, so that neither the files' order nor their layout matters, and each kind (of a
+    window's first span) has an equal share.
+    """
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -187,7 +213,11 @@ def _labelled(df: DataFrame, spans: bool) -> list[tuple[str, list[Span]]]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["text", "spans"])
 
     out = []
-    for row in df.where(F.col("text").rlike("[0-9@]")).mapInArrow(cut, "text string, spans string").limit(WINDOWS).collect():
+    cuts = df.where(F.col("text").rlike("[0-9@]")).mapInArrow(cut, "text string, spans string").distinct()
+    drawn = Window.partitionBy(F.substring_index("spans", ":", 1)).orderBy(F.xxhash64("text", "spans"), "text", "spans")
+    share = WINDOWS // len(KINDS) if spans else WINDOWS
+    # A group limit before the shuffle: a task passes on at most a share of each kind.
+    for row in cuts.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= share).orderBy("place", "spans", "text").collect():
         own = [s.split(":") for s in row["spans"].split(",") if s]
         out.append((row["text"], [(k, int(a), int(b)) for k, a, b in own]))
     return out

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rewindle.llm import chat, merkle, negatives, order, sharding, urls
+from rewindle.llm import chat, merkle, negatives, order, pii, sharding, urls
 
 
 def brute_negatives(rows, anchor, rules):
@@ -295,3 +295,34 @@ def test_fewer_groups_than_shards(spark):
     for r in got:
         homes.setdefault(r["text_crc32"], set()).add(r["shard"])
     assert len(got) == 30 and all(len(x) == 1 for x in homes.values()) and len(set.union(*homes.values())) == 3
+
+
+def test_spans_longer_than_a_windows_overlap_are_put_together():
+    width, stride = pii.WIDTH, pii.STRIDE
+
+    def seen(a, b, size):
+        """What windows on the grid hold of one span."""
+        out = []
+        for at in range(0, size - width + stride, stride):
+            i, j = max(a, at), min(b, at + width, size)
+            if i < j:
+                labels = np.zeros(width, int)
+                labels[i - at], labels[i - at + 1 : j - at] = 1, 2
+                out += pii._tagged(labels, at, min(width, size - at), size)
+        return out
+
+    for a in range(0, 300, 7):
+        for length in (2, 40, 60, 97, 150):
+            assert set(pii.joined(seen(a, a + length, 600))) == {("email", a, a + length)}
+    two = seen(30, 130, 600) + [(("phone", x + 60, y + 60), p, q) for (_, x, y), p, q in seen(100, 190, 600)]
+    assert ("email", 30, 130) in pii.joined(two)
+    assert pii.joined([(("ip", 90, 96), True, False)]) == []
+
+
+def test_training_windows_do_not_hang_on_the_order_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(pii, "WINDOWS", 8)
+    texts = [f"write to n{i}@example{i % 7}.org or call +49 30 {1000000 + i * 37}" for i in range(60)] + ["copy a@b.c"] * 200 + ["no span, 5 apples"] * 3 + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    one, two = (pii._labelled(d, True) for d in (df.repartition(1), df.orderBy("text").repartition(7)))
+    assert one == two and len(set(t for t, _ in one)) == len(one) <= 8
+    assert [t for t, _ in pii._labelled(df, False)] == ["no span, 5 apples"]
