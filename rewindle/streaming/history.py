@@ -117,9 +117,9 @@ class HistoryTable:
             # No history yet: build it from all events there are.
             changes = self._build(self._standing(all_events), heavy)
         else:
-            first, lowest, many = self._first(self._touched(batch, all_events))
+            first, lowest = self._first(self._touched(batch, all_events))
             if self.indexed:
-                known = self.key_index.read(spark, first.select(*self.keys), version - 1, many)
+                known = self.key_index.read(spark, first.select(*self.keys), version - 1)
             else:
                 known = history.read(spark, end=version - 1)
             changes = self._changes(all_events.where(lowest), known, first, heavy)
@@ -145,11 +145,11 @@ class HistoryTable:
     def _rows_of(self, events: DataFrame) -> DataFrame:
         return broadcast_if_small(events.select(self.row).distinct())
 
-    def _first(self, batch: DataFrame) -> tuple[DataFrame, Column, int]:
+    def _first(self, batch: DataFrame) -> tuple[DataFrame, Column]:
         """Each key's earliest event in the batch, broadcast if the keys are few.
 
         Also a condition all rebuilt events meet, in a form that lets the scan
-        of the event log skip files and row groups, and the number of keys.
+        of the event log skip files and row groups.
         """
         first = batch.groupBy(*self.keys).agg(F.min(self.seq).alias("__first"))
         kind = first.schema["__first"].dataType
@@ -166,9 +166,9 @@ class HistoryTable:
         if row.keys <= BROADCAST_ROWS:
             first = F.broadcast(first)
         if not exact:
-            return first, F.lit(True), row["keys"]
+            return first, F.lit(True)
         low = F.timestamp_micros(F.lit(row.low)) if as_micros else F.lit(row.low).cast(kind)
-        return first, F.col(self.seq) >= low, row["keys"]
+        return first, F.col(self.seq) >= low
 
     def _changes(self, events, history, first, heavy) -> DataFrame:
         """The differences that the events from ``first`` on make to ``history``."""
