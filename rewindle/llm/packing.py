@@ -6,10 +6,16 @@ dealt by a hash of their row into bins' groups of about ``GROUP`` pieces, so tha
 bounded number of them, and each group is packed from the longest piece down: of the bins whose residual
 tokens, documents and attention cost (the sum of squared lengths) all suffice, the piece goes where the
 rest has the smallest weighted norm, or where demand and residual have the largest weighted dot product;
-if there is none, a new bin opens. A group costs at most about one bin more than packing all at once.
+if there is none, a new bin opens.
+
+A group ends with bins that its last pieces could not fill. So each group sends its least filled bins on, up to
+``GROUP / FAN`` pieces; ``FAN`` groups' bins make a group of the next level and are packed anew, which counts only where
+it takes fewer bins; and so on until one group is left. Levels shrink, and no task ever holds more than about ``GROUP`` pieces.
 
 Nulls: a null text counts as empty and gives one piece that holds the final id alone; a null id is kept.
-Equal rows are packed one by one. A table without rows gives none.
+Equal rows are packed one by one. Pieces of equal length go in the order of their rows, and of bins that are equally good the
+oldest is taken. A very long text is tokenized whole by one task, and its pieces are packed like any others. Only the named
+columns are read, so others may have any name. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -28,6 +34,10 @@ from rewindle.llm.common import ready, written
 from rewindle.llm.tokens import tokens
 
 GROUP = 12_000
+#: Groups whose open bins make one group of the next level.
+FAN = 8
+#: Bits of a sequence's number that tell the bins of a group apart, and the groups of a level.
+BINS, GROUPS = 22, 36
 
 
 @dataclass(frozen=True)
@@ -80,6 +90,16 @@ def best_fit(lengths: np.ndarray, sizes: tuple[int, int, int], weights: tuple[fl
     return bins, offsets
 
 
+def unfilled(bins: np.ndarray, lengths: np.ndarray, full: int, most: int) -> np.ndarray:
+    """Whether each piece lies in one of the least filled bins, which hold ``most`` pieces at most; bins without room are left out."""
+    names, place = np.unique(bins, return_inverse=True)
+    used, many = np.bincount(place, lengths, len(names)), np.bincount(place, minlength=len(names))
+    order = np.argsort(used, kind="stable")
+    chosen = np.zeros(len(names), bool)
+    chosen[order] = (np.cumsum(many[order]) <= most) & (used[order] < full)
+    return chosen[place]
+
+
 def pieces(df: DataFrame, path: str, longest: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ``piece``, ``start``, ``length``, ``ids_crc32``) of every document, each text tokenized once."""
     ready(df.sparkSession)
@@ -110,21 +130,41 @@ def packed(
     score: str = "norm",
     id: str = "doc_id",
     text: str = "text",
+    group: int = GROUP,
 ) -> DataFrame:
     """Every piece of every document, with the ``sequence_id`` it goes to and its ``offset`` there."""
     if score not in ("norm", "dot"):
         raise ValueError("score is norm or dot")
     sizes = capacity.sizes()
     cut = written(pieces(df, path, sizes[0], id, text).withColumn("rid", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, -(-cut.where(F.col("length") < sizes[0]).count() // GROUP))
+    groups = max(1, -(-cut.where(F.col("length") < sizes[0]).count() // group))
     kind = cut.schema["id"].dataType.simpleString()
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rid", ignore_index=True)
-        bins, offsets = best_fit(rows["length"].to_numpy(), sizes, weights, score)
-        return rows.assign(sequence_id=rows["bin_group"] * (1 << 31) + bins, offset=offsets).drop(columns=["rid", "bin_group"])
-
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    short = cut.where(F.col("length") < sizes[0]).withColumn("bin_group", F.pmod(F.xxhash64("rid"), F.lit(groups)))
-    full = cut.where(F.col("length") >= sizes[0]).select("id", "piece", "start", "length", "ids_crc32", (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return short.groupBy("bin_group").applyInPandas(fill, schema).unionAll(full).withColumnRenamed("id", id)
+
+    def level(rows: DataFrame, number: int, last: bool) -> DataFrame:
+        """``rows`` (with ``rid``, ``bin_group``) packed by group; ``open`` says which go on to the next level."""
+
+        def fill(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("rid", ignore_index=True)
+            lengths = rows["length"].to_numpy()
+            bins, offsets = best_fit(lengths, sizes, weights, score)
+            if number == 0 or bins.max() + 1 < rows["sequence_id"].nunique():
+                own = (number << GROUPS) + int(rows["bin_group"].iloc[0])
+                rows = rows.assign(sequence_id=(own << BINS) + bins, offset=offsets)
+            goes = False if last else unfilled(rows["sequence_id"].to_numpy(), lengths, sizes[0], max(1, group // FAN))
+            return rows.assign(open=goes)
+
+        return rows.groupBy("bin_group").applyInPandas(fill, f"{schema}, rid long, bin_group long, open boolean")
+
+    names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    zero = F.lit(0).cast("long")
+    full = cut.where(F.col("length") >= sizes[0]).withColumns({"sequence_id": -1 - F.col("rid"), "offset": zero})
+    short = cut.where(F.col("length") < sizes[0]).withColumns({"sequence_id": zero, "offset": zero})
+    rows = short.withColumn("bin_group", F.pmod(F.xxhash64("rid"), F.lit(groups).cast("long")))
+    out, number = full.select(names), 0
+    while groups > 1:
+        done = written(level(rows, number, last=False), "packed")
+        out = out.unionAll(done.where(~F.col("open")).select(names))
+        rows = done.where("open").drop("open").withColumn("bin_group", F.floor(F.col("bin_group") / FAN))
+        groups, number = -(-groups // FAN), number + 1
+    return level(rows, number, last=True).select(names).unionAll(out).withColumnRenamed("id", id)

@@ -121,6 +121,30 @@ def test_packing_places_every_piece(hard, hard_rows, nothing):
     assert packing.packed(nothing, path).count() == 0
 
 
+def test_packing_in_groups_needs_hardly_more_than_packing_at_once(spark):
+    path = tokenizer("word_bpe_49k.json")
+    pick, words = random.Random(8), "a plain line of some words that make up texts".split()
+    texts = [(i, " ".join(pick.choices(words, k=min(240, 1 + int(pick.lognormvariate(3.5, 1)))))) for i in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    size = 256
+    got = packing.packed(docs, path, packing.Capacity(tokens=size), group=500).collect()
+    assert sorted(r.doc_id for r in got if r.piece == 0) == list(range(3000))
+    ends: dict[int, int] = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= size
+    lengths = np.array([r.length for r in got])
+    whole, _ = packing.best_fit(lengths, packing.Capacity(tokens=size).sizes(), (1.0, 0.05, 0.05), "norm")
+    assert -(-lengths.sum() // size) <= len(ends) <= whole.max() + 1 + 2  # six groups would cost some five more
+
+
+def test_unfilled_bins_are_the_least_filled_ones():
+    bins, lengths = np.array([0, 0, 1, 2, 2, 3]), np.array([50, 50, 10, 5, 6, 90])
+    assert packing.unfilled(bins, lengths, 100, 3).tolist() == [False, False, True, True, True, False]
+    assert packing.unfilled(bins, lengths, 100, 99).tolist() == [False, False, True, True, True, True]
+
+
 def test_best_fit_respects_all_capacities_and_wastes_little():
     lengths = np.random.default_rng(3).integers(1, 2048, 3000)
     bins, _ = packing.best_fit(lengths, (2048, 2048, 2048**2), (1.0, 0.05, 0.05), "norm")
