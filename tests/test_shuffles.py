@@ -5,6 +5,8 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rewindle.operators.scd2 import scd2
+from rewindle.operators.skew import NONE_HEAVY
 from rewindle.operators.versions import change_feed_diff
 from rewindle.streaming.history import HistoryTable
 
@@ -45,14 +47,32 @@ def test_a_batch_leaves_no_shuffle_files(spark, folder):
     assert history.current(spark).count() == 300
 
 
+def test_one_version_needs_no_search_for_the_newest(spark, folder, plan, rows):
+    history = table(folder).create(spark)
+    first = batch(spark, 4, [(1, 1, "a"), (1, 2, "b"), (2, 1, "c")]).unionByName(
+        spark.createDataFrame([(3, 1, "gone", "3-1", 4, "delete")], ROWS)
+    )
+    history.apply(first, "batch", 0)
+    assert "Exchange" not in plan(history._first_standing(history.events.read(spark)))
+    assert "Exchange" not in plan(history.current(spark))
+    want = [(1, 1, "a", 1, 2), (1, 2, "b", 2, None), (2, 1, "c", 1, None)]
+    assert rows(history.current(spark)) == sorted(want, key=repr)
+    # a row changed by a later version, and one without a version: the newest is looked for
+    history.apply(batch(spark, 5, [(1, 2, "changed")]), "batch", 1)
+    assert "Exchange" in plan(history._first_standing(history.events.read(spark)))
+    assert rows(history.current(spark), "key", "seq", "value") == [(1, 1, "a"), (1, 2, "changed"), (2, 1, "c")]
+
+
 def sent(text):
     """What stands below the shuffles of a plan."""
     return text[text.index("Exchange") :]
 
 
-def test_row_copies_are_not_shuffled(spark, folder, plan):
+def test_hashes_and_row_copies_are_not_shuffled(spark, folder, plan):
     path = f"{folder}/rows"
     spark.createDataFrame([(1, 1, 1, "a")], "key int, seq int, tie int, value string").write.parquet(path)
     events = spark.read.parquet(path)
+    made = plan(scd2(events, ["key"], "seq", ["tie"], [], heavy=NONE_HEAVY))
+    assert made.count("Exchange") == 1 and "xxhash64" in made and "xxhash64" not in sent(made)
     diff = plan(change_feed_diff(events, events.withColumn("value", F.lit("b")), ["key", "seq"]))
     assert diff.count("Exchange") == 1 and not re.search(r"struct\(", sent(diff)) and "struct" in diff
