@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewindle.llm.common import fresh, ready, words, written
+from rewindle.llm.common import fresh, ready, small_batches, words, written
 from rewindle.llm.components import components
 
 TILE = 8192
@@ -136,7 +136,8 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
 
 def _grouped(prints: DataFrame, radius: int) -> DataFrame:
     """(``fp``, ``component_id``) from (``fp``, ``first``): fingerprints and their smallest document."""
-    joined = written(components(links(prints.select("fp"), radius)), "components")
+    with small_batches(prints.sparkSession):
+        joined = written(components(links(prints.select("fp"), radius)), "components")
     members = written(joined.join(prints, joined["node"] == prints["fp"]).select("node", "root", "first"), "members")
     least = written(members.groupBy("root").agg(F.min("first").alias("least")), "least")
     named = members.join(least, "root").select(F.col("node").alias("fp"), "least")
@@ -145,7 +146,8 @@ def _grouped(prints: DataFrame, radius: int) -> DataFrame:
 
 def classes(df: DataFrame, shingle: int = 3, radius: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ``fingerprint`` in hex, ``component_id``) of each row: the smallest id its links reach."""
-    rows = written(fingerprints(df, shingle, id, text), "fingerprints")
+    with small_batches(df.sparkSession):
+        rows = written(fingerprints(df, shingle, id, text), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "prints")
     named = rows.join(_grouped(prints, radius), "fp")
     return named.select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -156,7 +158,8 @@ def one_of_each(df: DataFrame, shingle: int = 3, radius: int = 3, id: str = "doc
     rid, own = fresh(df, "rid", "own")
     rows = written(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(own), F.monotonically_increasing_id().alias(rid)), "rows")
     prints = fingerprints(rows.select(F.struct(F.col(f"{own}.`{id}`").alias("id"), rid).alias("id"), F.col(f"{own}.`{text}`").alias("text")), shingle, "id", "text")
-    prints = written(prints.select("id.id", F.col(f"id.{rid}").alias("rid"), "fp"), "fingerprints")
+    with small_batches(df.sparkSession):
+        prints = written(prints.select("id.id", F.col(f"id.{rid}").alias("rid"), "fp"), "fingerprints")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
     first = written(prints.groupBy("fp").agg(F.min(order).alias("first")), "prints")
     named = _grouped(first, radius)
