@@ -80,6 +80,17 @@ def _rows(columns: dict[str, tuple], types: dict[str, pa.DataType]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in types.items()], list(types))
 
 
+#: Rows that a task of the search turns into vectors at once: with their neighbours' codes, some ten thousand.
+AT_ONCE = 512
+
+
+def _sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``AT_ONCE``; an empty one is left out."""
+    for part in parts:
+        for at in range(0, part.num_rows, AT_ONCE):
+            yield part.slice(at, AT_ONCE)
+
+
 _EDGE = {"u": pa.int64(), "w": pa.int64(), "sim": pa.float32()}
 
 
@@ -269,9 +280,7 @@ def _started(queries: DataFrame, table: DataFrame, s: Settings) -> DataFrame:
     def start(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = np.array(numbers, np.int64)
         x = _vectors(codes) if codes else None
-        for part in parts:
-            if not part.num_rows:
-                continue
+        for part in _sliced(parts):
             ids, sims = [[n] for n in part.column("node").to_pylist()], [[1.0] for _ in range(part.num_rows)]
             if x is not None:
                 near = _vectors(part.column("code").to_pylist()) @ x.T
@@ -303,15 +312,13 @@ def _searched(table: DataFrame, graph: DataFrame, queries: DataFrame, s: Setting
     pools = written(_started(queries, table, s), "pools")
 
     def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _sliced(parts):
             rows = [(r["q"], i, r["qcode"]) for r in part.to_pylist() for i in [i for i, d in zip(r["ids"], r["done"], strict=True) if not d][: s.width]]
             for at in range(0, len(rows), 20_000):
                 yield _rows(dict(zip(("q", "u", "qcode"), zip(*rows[at : at + 20_000], strict=True), strict=True)), {"q": pa.int64(), "u": pa.int64(), "qcode": pa.binary()})
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if not part.num_rows:
-                continue
+        for part in _sliced(parts):
             lists, codes = part.column("ws"), part.column("codes")
             size = np.diff(lists.offsets.to_numpy())
             own = np.repeat(_vectors(part.column("qcode").to_pylist()), size, axis=0)
