@@ -136,6 +136,69 @@ def test_boilerplate_of_few_pages_of_a_large_host(spark):
     assert tuple(got) == (3000, 3000)
 
 
+def test_the_host_decides_which_reading_is_the_article(spark):
+    notice = " ".join(f"n{i}" for i in range(40))
+    own = lambda i, n=8: " ".join(f"w{i}x{j}" for j in range(n))
+    forms = {
+        "a": lambda i: f"<main><p>{notice}</p><article><p>{own(i)}</p></article></main>",
+        "b": lambda i: f"<div class='has-sidebar'><article><p>{own(i)}</p></article></div><p>{notice}</p>",
+        "c": lambda i: f"<div><p>{own(i, 60)}</p></div><article><p>{notice}</p></article>",
+    }
+    rows = [(i, f"http://{h}.example/{i}", form(i)) for h, form in forms.items() for i in range(4)]
+    rows += [(9, f"http://lone-{h}.example/", form(9)) for h, form in forms.items()] + rows[:2]
+    rows += [(20 + i, "http://d.example/", f"<article><p>{notice}</p></article><p>{own(i, 20)}</p>") for i in range(3)]  # not outweighed: it stays
+    got = Counter(map(tuple, html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()))
+    by_host = lambda h, i: own(i, 60) if h == "c" else own(i)
+    want = [(i, f"http://{h}.example/{i}", by_host(h, i)) for h in forms for i in range(4)]
+    want += [(9, "http://lone-a.example/", f"{notice}\n{own(9)}"), (9, "http://lone-b.example/", notice), (9, "http://lone-c.example/", notice)]
+    want += want[:2] + [(20 + i, "http://d.example/", notice) for i in range(3)]
+    assert got == Counter(want)
+
+
+def plain_readings(pages, run):
+    """As ``plain_main_texts``; marked pages with several readings are weighed against every page of the host, whole."""
+    out = []
+    cut = {k: html.blocks(h or "") for k, (_, _, h) in enumerate(pages)}
+    own = {k: html.chosen(b) for k, b in cut.items()}
+    split = {k: [[t for (x, _, _), o in zip(b, own[k] or [False] * len(b), strict=True) if o == side for t in x.split()] for side in (False, True)] for k, b in cut.items()}
+    grams = {k: {tuple(s[i : i + run]) for s in both for i in range(len(s) - run + 1)} for k, both in split.items()}
+    plain = iter(sorted(plain_main_texts([(k, u, h) for k, (_, u, h) in enumerate(pages)], run)))
+    for k, (i, u, _) in enumerate(pages):
+        text = next(plain)[2]
+        if html.readings(cut[k]) > 1:
+            seen = set().union(*(grams[j] for j in cut if pages[j][1] == u and split[j] != split[k]))
+            flags = []
+            for s in split[k]:
+                flags.append([any(tuple(s[a : a + run]) in seen for a in range(max(0, t - run + 1), min(t, len(s) - run) + 1)) for t in range(len(s))])
+            at, left = [0, 0], []
+            for (x, _, _), o in zip(cut[k], own[k] or [False] * len(cut[k]), strict=True):
+                n = len(x.split())
+                left.append(" ".join(t for t, f in zip(x.split(), flags[o][at[o] : at[o] + n], strict=True) if not f))
+                at[o] += n
+            now = html.chosen(cut[k], [len(x) - len(y) for (x, _, _), y in zip(cut[k], left, strict=True)])
+            if now is None and own[k] is not None:
+                text = "\n".join(y for (_, out_, _), y in zip(cut[k], left, strict=True) if not out_ and y)
+            elif now is not None:
+                text = "\n".join(x for (x, _, _), o in zip(cut[k], now, strict=True) if o)
+        out.append((i, u, text))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_readings_equal_a_plain_version_for_any_layout(spark, parts, monkeypatch):
+    monkeypatch.setattr(html, "HELD", 500)
+    pick = random.Random(4)
+    shared = [" ".join(f"s{j}w{i}" for i in range(pick.randrange(10, 60))) for j in range(4)]
+    text = lambda: "".join(f"<p>{pick.choice(shared) if pick.random() < 0.6 else ' '.join(pick.choice('abcdefg') for _ in range(pick.randrange(1, 50)))}</p>" for _ in range(pick.randrange(3)))
+    forms = ["{0}<main>{1}<article>{2}</article>{3}</main>", "<div class=sidebar>{0}<article>{1}</article></div>{2}", "{0}<article>{1}</article><article>{2}</article>{3}", "{0}{1}<footer>{2}</footer>", "<nav>{0}</nav><article>{1}</article>"]
+    pages = [(i, pick.choice(["http://a.example/x", "http://b.example/y", None]), pick.choice(forms).format(*(text() for _ in range(4)))) for i in range(150)]
+    pages += [pages[0], pages[3], (None, *pages[5][1:]), (200, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"several": F.lit(1), "bare": F.lit(1), "open": F.lit(2), "blocks": F.lit("b")}).repartition(parts)
+    want = plain_readings(pages, html.RUN)
+    assert Counter(map(tuple, html.extracted(df).collect())) == want
+    assert sum((plain_main_texts(pages, html.RUN) - want).values()) >= 10  # marked pages whose host's streams overrule the structure
+
+
 def test_repeats_equal_a_plain_search():
     pick = random.Random(0)
     for _ in range(200):
