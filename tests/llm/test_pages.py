@@ -199,6 +199,40 @@ def test_readings_equal_a_plain_version_for_any_layout(spark, parts, monkeypatch
     assert sum((plain_main_texts(pages, html.RUN) - want).values()) >= 10  # marked pages whose host's streams overrule the structure
 
 
+@pytest.mark.parametrize(("parts", "held"), [(1, 512), (7, 512), (7, 5)])
+def test_words_that_other_pages_hold_are_counted_for_every_page(spark, parts, held, monkeypatch):
+    monkeypatch.setattr(html, "PAGES", held)
+    pick, run = random.Random(6), html.RUN
+    passages = [" ".join(f"s{j}w{i}" for i in range(pick.randrange(12, 90))) for j in range(6)]
+    pages = []
+    for i in range(140):
+        text = " ".join(pick.choice(passages) if pick.random() < 0.3 else " ".join(f"p{i}w{k}x{j}" for j in range(pick.randrange(1, 30))) for k in range(4))
+        page = f"<nav>{passages[0]}</nav>" + (f"<article>{text}</article>" if i % 5 else f"<p>{text}</p>")
+        pages.append((i, pick.choice(["http://a.example/x", "http://b.example/y", None]), page))
+    pages += [pages[1], (300, None, None), (301, "http://c.example/", f"<article>{passages[1]}</article>"), (302, "http://d.example/", f"<article>{passages[2]} {passages[2]}</article>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("n_repeated", F.lit(-1)).repartition(parts)
+    got = sorted(((r["page_id"], r["n_repeated"], r["text"]) for r in html.extracted(df, shared_words=True).collect()))
+    assert Counter((i, t) for i, _, t in got) == Counter((i, t) for i, _, t in plain_main_texts(pages, run).elements())
+    streams = [[[t for _, b in others for t in b.split()], (article or "").split()] for article, others in (html.divided(h or "") for _, _, h in pages)]
+    on = defaultdict(set)
+    for k, (_, u, _) in enumerate(pages):
+        for s in streams[k]:
+            for a in range(len(s) - run + 1):
+                on[u, tuple(s[a : a + run])].add(k)
+    bounds, runs = [], 0
+    for k, (i, u, _) in enumerate(pages):
+        s = streams[k][1] or streams[k][0]
+        flags = [len(on[u, tuple(s[a : a + run])]) > 1 for a in range(len(s) - run + 1)]
+        most, least = sum(any(flags[max(0, a - run + 1) : a + 1]) for a in range(len(s))), 0
+        for size in map(len, "".join("01"[f] for f in flags).split("0")):
+            least += max(0, size - 2 * html.EVERY + 2)
+        bounds.append((i, least, most))
+        runs += least > 0
+    assert runs > 50 and all(i == j and least <= n <= most for (i, n, _), (j, least, most) in zip(got, sorted(bounds), strict=True))
+    assert [n for i, n, _ in got if i in (300, 301, 302)] == [0, 0, 0]
+    assert html.extracted(df.limit(0), shared_words=True).count() == 0
+
+
 def test_repeats_equal_a_plain_search():
     pick = random.Random(0)
     for _ in range(200):
