@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,42 @@ def test_words_that_other_pages_hold_are_counted_for_every_page(spark, parts, he
     assert html.extracted(df.limit(0), shared_words=True).count() == 0
 
 
+@pytest.mark.parametrize(("parts", "held"), [(1, 512), (7, 5)])
+def test_every_word_that_starts_a_repeated_stretch_counts(spark, parts, held, monkeypatch):
+    monkeypatch.setattr(html, "PAGES", held)
+    pick, run = random.Random(8), html.RUN
+    passages = [" ".join(f"s{j}w{i}" for i in range(run + j % 5 - 1)) for j in range(12)]  # 15 to 19 words
+    text = lambda i: " ".join(pick.choice(passages) if pick.random() < 0.3 else " ".join(f"p{i}w{k}x{j}" for j in range(pick.randrange(1, 9))) for k in range(5))
+    pages = [(i, pick.choice(["http://a.example/x", "http://b.example/y", None]), f"<nav>{text(i)}</nav>" + (f"<article>{text(-i)}</article>" if i % 5 else f"<p>{text(-i)}</p>")) for i in range(160)]
+    pages += [pages[1], pages[3], (300, "http://c.example/", f"<article>{passages[2]} {passages[2]}</article>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)
+    on, want = defaultdict(set), Counter()
+    streams = [[[t for _, b in others for t in b.split()], (article or "").split()] for article, others in (html.divided(h) for _, _, h in pages)]
+    for k, (_, u, _) in enumerate(pages):
+        for s in streams[k]:
+            for a in range(len(s) - run + 1):
+                on[u, tuple(s[a : a + run])].add(k)
+    for k, (i, u, _) in enumerate(pages):
+        s = streams[k][1] or streams[k][0]
+        want[i, sum(len(on[u, tuple(s[a : a + run])]) > 1 for a in range(len(s) - run + 1))] += 1
+    assert Counter((r["page_id"], r["n_repeated"]) for r in html.extracted(df, shared_words=True).collect()) == want
+    assert sum(n for _, n in want) > 100
+
+
+def test_a_full_filter_lets_more_through_and_counts_the_same():
+    pick = random.Random(9)
+    passages = [" ".join(f"s{j}w{i}" for i in range(15 + j)).split() for j in range(6)]
+    pages = [(pick.choice("ab"), pick.choice(passages) + [f"x{k}"], [f"p{k}w{i}" for i in range(20)] + pick.choice(passages)) for k in range(30)] + [("", [], [])]
+    bucket, longs = html.sown(pages, 6)
+    none = [np.packbits(np.zeros(html.FILTER, bool))] * 64
+    for b in np.unique(bucket):
+        found = pa.array([longs[bucket == b].tolist()], pa.list_(pa.int64()))
+        none[b] = np.frombuffer(html.met(pa.table({"bucket": [int(b)], "found": found}))["marks"][0].as_py(), np.uint8)
+    few, full = html.passed(pages, 6, np.array(none)), html.passed(pages, 6, np.full((64, html.FILTER // 8), 255, np.uint8))
+    assert few[0].tolist() == full[0].tolist() and few[0].sum() > 30
+    assert set(zip(few[1].tolist(), few[2].tolist())) < set(zip(full[1].tolist(), full[2].tolist()))
+
+
 def test_repeats_equal_a_plain_search():
     pick = random.Random(0)
     for _ in range(200):
