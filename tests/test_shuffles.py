@@ -1,13 +1,16 @@
 """What the chained stages send and keep on disk while they run."""
 
+import random
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rewindle.operators.scd2 import scd2
-from rewindle.operators.skew import NONE_HEAVY
+from rewindle.operators.skew import NONE_HEAVY, find_heavy
 from rewindle.operators.versions import change_feed_diff
+from rewindle.streaming import history as history_module
 from rewindle.streaming.history import HistoryTable
 
 ROWS = (
@@ -76,3 +79,29 @@ def test_hashes_and_row_copies_are_not_shuffled(spark, folder, plan):
     assert made.count("Exchange") == 1 and "xxhash64" in made and "xxhash64" not in sent(made)
     diff = plan(change_feed_diff(events, events.withColumn("value", F.lit("b")), ["key", "seq"]))
     assert diff.count("Exchange") == 1 and not re.search(r"struct\(", sent(diff)) and "struct" in diff
+
+
+def test_a_large_batch_looks_for_heavy_keys_in_the_log_and_gives_the_same_history(spark, folder, plan, rows, monkeypatch):
+    pick = random.Random(5)
+    feeds = []
+    for version in range(4):
+        # a row keeps its place; its key, its value and whether it is there change
+        own = [(pick.randrange(8), r, pick.choice("abc"), f"row-{r}", version, pick.choice(["insert", "insert", "delete"])) for r in pick.sample(range(60), 25)]
+        feeds.append(spark.createDataFrame(own, ROWS).repartition(3))
+    small, large = (table(f"{folder}/{n}").create(spark) for n in ("small", "large"))
+    for n, feed in enumerate(feeds):
+        small.apply(feed, "batch", n)
+    searched = []
+
+    def searching(df, keys, **more):
+        searched.append(plan(df))
+        return find_heavy(df, keys, **more)
+
+    for name, value in (("BROADCAST_ROWS", 0), ("MIN_ROWS", 0), ("find_heavy", searching)):
+        monkeypatch.setattr(history_module, name, value)
+    for n, feed in enumerate(feeds):
+        large.apply(feed, "batch", n)
+        assert rows(large.history.read(spark, n, n).drop("_commit_timestamp")) == rows(small.history.read(spark, n, n).drop("_commit_timestamp"))
+    assert rows(large.current(spark)) == rows(small.current(spark)) and small.current(spark).count() > 20
+    assert len(searched) == 4 and not re.search("Join|Window|Exchange", "".join(searched))
+    assert not Path(large.path, "in-work").exists()
